@@ -22,13 +22,13 @@ def _progress(status: Column) -> Column:
 def ledger_state(events: DataFrame) -> DataFrame:
     """The present state of every job from its events.
 
-    Events: (job_id, firm_id, document_id, status, at, positions_extracted,
+    Events: (job_id, firm_id, document_id, status, event_at, positions_extracted,
     chunks_embedded, error_message).  Times come from the first event of a
     kind, results from the last event.  One aggregation, combined before the
     shuffle.
     """
     status = F.col("status")
-    place = F.struct(F.col("at"), _progress(status))
+    place = F.struct(F.col("event_at"), _progress(status))
     ended = status.isin("completed", "failed", "skipped", "cancelled")
     last = F.max_by(
         F.struct("status", "positions_extracted", "chunks_embedded", "error_message"),
@@ -37,9 +37,9 @@ def ledger_state(events: DataFrame) -> DataFrame:
     state = events.groupBy("firm_id", "job_id").agg(
         F.max("document_id").alias("document_id"),
         last.alias("_last"),
-        F.min(F.when(status == "pending", F.col("at"))).alias("queued_at"),
-        F.min(F.when(status == "running", F.col("at"))).alias("started_at"),
-        F.max(F.when(ended, F.col("at"))).alias("completed_at"),
+        F.min(F.when(status == "pending", F.col("event_at"))).alias("queued_at"),
+        F.min(F.when(status == "running", F.col("event_at"))).alias("started_at"),
+        F.max(F.when(ended, F.col("event_at"))).alias("completed_at"),
     )
     return state.select(
         "firm_id",
