@@ -192,12 +192,15 @@ def first_redemption_stream(
 ) -> DataFrame:
     """The first timely attempt per code that arrives.
 
-    A code lives five minutes, so the watermark bounds the state.
+    ``life`` is how long a code lives (five minutes as issued): a watermark of
+    that length keeps every repeat out and bounds the state.
     """
     usable = codes.where(F.col("redeemed_at").isNull()).select("code", "expires_at")
     timely = attempts.join(usable, "code").where(
         F.col("expires_at") > F.col("attempted_at")
     )
-    return timely.withWatermark("attempted_at", life).dropDuplicatesWithinWatermark(
-        ["code"]
+    return (
+        timely.withColumn("attempted_at", F.col("attempted_at").cast("timestamp"))
+        .withWatermark("attempted_at", life)
+        .dropDuplicatesWithinWatermark(["code"])
     )

@@ -1,0 +1,176 @@
+"""Streams over the benchmark files, drained once; results must equal the batch."""
+
+from pyspark.sql import functions as F
+
+from matterlake.plans.storage import scratch_path
+from matterlake.streaming import jobs as J
+from matterlake.workload import q_documents as QD
+from matterlake.workload.q_matters import (
+    CODE_SQL,
+    SESSION_SQL,
+    attempts_of,
+    codes_of,
+    sessions_of,
+)
+from matterlake.workload.registry import query
+
+
+def _stream(s, table):
+    schema = s.base(table).schema
+    return J.file_stream(s.spark, s.sf_dir, schema, pattern=f"{table}.parquet")
+
+
+def _drained(s, stream, name):
+    path = scratch_path(s.spark, name)
+    J.drain_to_table(stream, path)
+    return s.spark.read.schema(stream.schema).parquet(path)
+
+
+def _text(column):
+    return F.col(column).cast("string")
+
+
+def _positions_stream(s):
+    """The id, key and order columns of the positions stand-in."""
+    user = F.col("user_id")
+    return _stream(s, "events").select(
+        F.concat(F.lit("p"), _text("event_id")).alias("id"),
+        F.concat(F.lit("f"), (user % 10).cast("string")).alias("firm_id"),
+        F.concat(F.lit("m"), user.cast("string")).alias("matter_id"),
+        F.col("event_type").alias("clause_type"),
+        F.col("ts").alias("created_at"),
+        (F.col("event_id") % 1000000).cast("int").alias("seq"),
+    )
+
+
+@query(
+    "stream_supersession",
+    """SELECT * FROM (
+         SELECT firm_id, matter_id, clause_type, id, lead(id) OVER (
+                  PARTITION BY firm_id, matter_id, clause_type
+                  ORDER BY created_at, seq, id) AS superseded_by
+         FROM positions) WHERE superseded_by IS NOT NULL""",
+    "positions",
+)
+def stream_supersession(s):
+    return _drained(s, J.supersession_links(_positions_stream(s)), "links")
+
+
+@query(
+    "stream_audit",
+    """SELECT id, firm_id, user_id, action, result, payload, occurred_at FROM actions""",
+    "actions",
+)
+def stream_audit(s):
+    user = F.col("user_id")
+    actions = _stream(s, "events").select(
+        F.concat(F.lit("a"), _text("event_id")).alias("id"),
+        F.concat(F.lit("f"), (user % 10).cast("string")).alias("firm_id"),
+        F.concat(F.lit("u"), user.cast("string")).alias("user_id"),
+        F.concat(F.lit("tool."), F.col("event_type")).alias("action"),
+        F.when(F.col("event_type") == "error", "error")
+        .otherwise("success")
+        .alias("result"),
+        F.col("props").alias("payload"),
+        F.col("ts").alias("occurred_at"),
+    )
+    path = scratch_path(s.spark, "audit")
+    J.audit_stream(actions, path)
+    return s.spark.read.parquet(path).select(
+        "id", "firm_id", "user_id", "action", "result", "payload", "occurred_at"
+    )
+
+
+@query("stream_sessions", SESSION_SQL + " WHERE valid", "firm_users")
+def stream_sessions(s):
+    sessions = sessions_of(_stream(s, "events"))
+    judged = J.valid_session_stream(sessions, s.firm_users)
+    return _drained(s, judged.drop("iat"), "sessions").withColumn("valid", F.lit(True))
+
+
+@query(
+    "stream_redemptions",
+    f"""WITH {CODE_SQL} SELECT DISTINCT code FROM first_""",
+)
+def stream_redemptions(s):
+    attempts = attempts_of(_stream(s, "events"))
+    # The stand-in codes live nine days.
+    first = J.first_redemption_stream(
+        attempts, codes_of(s.base("events")), life="9 days"
+    )
+    return _drained(s, first.select("code"), "redemptions")
+
+
+@query(
+    "stream_intake",
+    f"WITH RECURSIVE {QD.INTAKE_SQL} SELECT * FROM ledger",
+    "jobs docs",
+)
+def stream_intake(s):
+    """Documents arrive as files; every new one without a label is pending."""
+    labels = s.base("labels").select("doc_id", "quality")
+    n = F.col("doc_id")
+    firm = F.concat(F.lit("f"), ((n % 100) % 10).cast("string"))
+    requests = (
+        _stream(s, "documents")
+        .select("doc_id")
+        .join(labels, "doc_id", "left")
+        .select(
+            F.concat(F.lit("j"), _text("doc_id")).alias("id"),
+            firm.alias("firm_id"),
+            F.concat(F.lit("d"), _text("doc_id")).alias("document_id"),
+            F.concat(F.lit("m"), (n % 100).cast("string")).alias("matter_id"),
+            F.when(F.col("quality") == 1, "completed")
+            .when(F.col("quality") == 0, "failed")
+            .otherwise("pending")
+            .alias("status"),
+            F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("queued_at"),
+        )
+    )
+
+    def handle(pending):
+        return QD.intake_of(s, jobs=pending).ledger.select(*QD.LEDGER_COLUMNS)
+
+    path = scratch_path(s.spark, "ledger")
+    J.intake_stream(requests, handle, path)
+    return s.spark.read.parquet(path).select(*QD.LEDGER_COLUMNS)
+
+
+@query(
+    "stream_handoffs",
+    f"WITH {QD.HANDOFF_SQL}, {QD.UPSERT_SQL} SELECT * FROM after_",
+    "sized",
+)
+def stream_handoffs(s):
+    text = F.col("text")
+    n = F.col("doc_id")
+    mark = (
+        F.when(n % 4 == 0, "_v3 (2).docx")
+        .when(n % 4 == 1, " v1.2 - signed (12).doc")
+        .when(n % 4 == 2, "_FINAL.docx")
+        .otherwise(".docx")
+    )
+
+    def times(char):
+        return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit(""))) + 1
+
+    sized = _stream(s, "documents").select(
+        "doc_id",
+        F.concat(F.lit("f"), (n % 5).cast("string")).alias("firm_id"),
+        F.concat(
+            F.lit("Memo "), F.col("source"), F.lit(" "), F.col("lang"), mark
+        ).alias("doc_title"),
+        times("\n").cast("int").alias("paragraph_count"),
+        times(" ").cast("int").alias("word_count"),
+    )
+    stored = QD.stored_handoffs(s.sized)
+    path = scratch_path(s.spark, "handoffs")
+    J.handoff_stream(
+        QD.updates_of(sized),
+        stored,
+        path,
+        now=F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"),
+    )
+    return J.newest_version(s.spark, path, stored.schema).select(
+        "firm_id", "word_count", "summary"
+    )

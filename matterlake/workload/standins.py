@@ -147,7 +147,7 @@ SQL["hints"] = """
 SELECT 'r' || CAST(c_custkey AS STRING) AS request_id,
        'f' || CAST(c_custkey % 4 AS STRING) AS firm_id,
        CASE WHEN c_custkey % 6 = 0
-            THEN 'w' || CAST(c_custkey AS STRING) END AS word_doc_id,
+            THEN 'w' || CAST(c_custkey + 4 AS STRING) END AS word_doc_id,
        CASE c_custkey % 6
             WHEN 0 THEN 'Unknown paper.docx'
             WHEN 1 THEN 'Order ' || CAST(c_custkey AS STRING) || ' v'
