@@ -7,9 +7,15 @@ from matterlake import schemas as S
 from matterlake.functions.text import BLANK, BLANKS
 
 _PARAGRAPH_GAP = re.compile("\n{2,}")
-_END = "(?:" + BLANK + r"|\Z)"
-_SENTENCE = re.compile("[^.!?]+[.!?]+" + _END)
-_SENTENCE_KEEPING = re.compile(r"(?s).+?(?:[.!?]+" + _END + r"|\Z)")
+_SENTENCE = re.compile("[^.!?]+([.!?]++(?:" + BLANK + r"|\Z))?")
+_SENTENCE_END = re.compile("(?<=[.!?]" + BLANK + ")")
+
+
+def _sentences(paragraph: str, lossy: bool) -> list[str]:
+    if lossy:
+        found = _SENTENCE.finditer(paragraph)
+        return [m.group() for m in found if m.group(1) is not None]
+    return [s for s in _SENTENCE_END.split(paragraph) if s]
 
 
 def _packed(pieces: list[str], limit: int) -> Iterator[str]:
@@ -28,13 +34,12 @@ def _packed(pieces: list[str], limit: int) -> Iterator[str]:
 
 def _units(text: str, lossy: bool) -> Iterator[str]:
     """Paragraphs; those above the packing limit as packs of sentences."""
-    pattern = _SENTENCE if lossy else _SENTENCE_KEEPING
     for part in _PARAGRAPH_GAP.split(text):
         paragraph = part.strip(BLANKS)
         if len(paragraph) <= S.SENTENCE_PACK_CHARS:
             packs = [paragraph]
         else:
-            found = pattern.findall(paragraph) or [paragraph]
+            found = _sentences(paragraph, lossy) or [paragraph]
             packs = _packed(found, S.SENTENCE_PACK_CHARS)
         yield from (p for p in packs if p)
 

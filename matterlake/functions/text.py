@@ -41,9 +41,13 @@ WORD_BOUNDARY = (
     "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 )
 
-SENTENCE = "[^.!?]+[.!?]+(?:" + BLANK + r"|\z)"
-# Keeps every character: a sentence, or whatever is left over.
-SENTENCE_KEEPING = r"(?s).+?(?:[.!?]+(?:" + BLANK + r"|\z)|\z)"
+# A stretch without an end mark, with its end marks when a blank or the end of
+# the text follows.  Every stretch is consumed, so a long text without any end
+# mark is still read once.
+SENTENCE = "[^.!?]+(?:[.!?]++(?:" + BLANK + r"|\z))?"
+SENTENCE_MARK = "[.!?]"
+# Just behind an end mark and a blank.
+SENTENCE_END = "(?<=[.!?]" + BLANK + ")"
 
 
 def trim_blanks(c: Column) -> Column:
@@ -101,8 +105,10 @@ def paragraphs(c: Column) -> Column:
 
 def sentences(c: Column, lossy: bool = False) -> Column:
     """Sentences of a text; ``lossy`` drops fragments without a full end."""
-    pattern = SENTENCE if lossy else SENTENCE_KEEPING
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    if lossy:
+        found = F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0))
+        return F.filter(found, lambda s: F.regexp_like(s, F.lit(SENTENCE_MARK)))
+    return F.filter(F.split(c, SENTENCE_END), lambda s: F.length(s) > 0)
 
 
 def words(c: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from matterlake import schemas as S
 from matterlake.functions import text as X
 from matterlake.functions.wordedits import word_edits
+from matterlake.plans.storage import spread
 
 _RESULT = (
     "struct<edits:array<struct<old_text:string,new_text:string,old_start:int>>,"
@@ -55,7 +56,8 @@ def diff_pairs(pairs: DataFrame, context_words: int = 2) -> DataFrame:
     """One row per pair: its edits as an array, statistics, or an error."""
     if not 1 <= context_words <= 6:
         raise ValueError("context_words must be between 1 and 6")
-    judged = pairs.withColumn("error", pair_error())
+    # Quadratic work per pair: move the pairs before, not after.
+    judged = spread(pairs, "pair_id").withColumn("error", pair_error())
     fine = F.col("error").isNull()
     result = _edits_of(context_words)(
         F.when(fine, F.col("old_text")), F.when(fine, F.col("new_text"))

@@ -19,6 +19,7 @@ def supersede(
     keys: Sequence[str] = KEY,
     order: Sequence[str] = ORDER,
     hot_rows: int = HOT_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Adds ``superseded_by``, ``supersedes`` and ``version``.
 
@@ -26,7 +27,7 @@ def supersede(
     whether or not the value differs.
     """
     bare = positions.drop("superseded_by")
-    linked = with_neighbours(bare, keys, order, "id", hot_rows)
+    linked = with_neighbours(bare, keys, order, "id", hot_rows, slice_rows)
     return linked.withColumnsRenamed(
         {"next_id": "superseded_by", "previous_id": "supersedes"}
     )

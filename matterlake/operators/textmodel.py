@@ -4,7 +4,7 @@ import json
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matterlake import schemas as S
@@ -104,30 +104,47 @@ def default_rules() -> dict[str, str]:
     return {c: c.replace("_", "[ _-]") for c in S.CLAUSE_TYPES}
 
 
-def rule_positions(content: Column, rules: Mapping[str, str]) -> Column:
-    """Array of positions: one per clause whose pattern occurs as a word.
+def with_rule_positions(
+    docs: DataFrame, content: str, rules: Mapping[str, str]
+) -> DataFrame:
+    """Adds ``positions``: one per clause whose pattern occurs as a word.
 
-    Stays in the JVM.  Each pattern is one linear search; the excerpt is the
-    text around its first occurrence.
+    Stays in the JVM.  Each pattern is one linear search of the text (the place
+    is computed once, in a projection of its own); the mention and the excerpt
+    are read around the place.
     """
+    text = F.col(content)
+    before, after = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    placed = docs.select(
+        "*",
+        *[
+            F.regexp_instr(text, F.lit(f"(?i){before}(?:{p}){after}")).alias(f"_at{i}")
+            for i, p in enumerate(rules.values())
+        ],
+    )
     found = []
-    for clause, pattern in rules.items():
-        bounded = f"(?i){X.WORD_BOUNDARY}(?:{pattern}){X.WORD_BOUNDARY}"
-        at = F.regexp_instr(content, F.lit(bounded))
-        mention = F.regexp_extract(content, bounded, 0)
+    for i, (clause, pattern) in enumerate(rules.items()):
+        at = F.col(f"_at{i}")
+        mention = F.regexp_extract(
+            F.substring(text, at, F.length(text)), f"(?i)^(?:{pattern}){after}", 0
+        )
         position = F.struct(
             F.lit(clause).alias("clause_type"),
             F.to_json(F.struct(mention.alias("mention"))).alias("value"),
             F.lit("proposed").alias("status"),
             F.lit(None).cast("string").alias("counterparty_name"),
             F.lit("neutral").alias("party_role"),
-            F.substring(content, F.greatest(F.lit(1), at - 100), F.lit(300)).alias(
+            F.substring(text, F.greatest(F.lit(1), at - 100), F.lit(300)).alias(
                 "source_chunk_text"
             ),
             F.lit("0.5").alias("confidence"),
         )
         found.append(F.when(at > 0, position))
-    return F.array_compact(F.array(*found))
+    none = F.array().cast(f"array<{_POSITION}>")
+    return placed.select(
+        *docs.columns,
+        F.coalesce(F.array_compact(F.array(*found)), none).alias("positions"),
+    )
 
 
 def _extract_with(extract_fn: ExtractFn):
@@ -170,12 +187,10 @@ def extract_positions(
     """
     others = [F.col(c) for c in docs.columns if c != content]
     if extract_fn is None:
-        shaped = rule_positions(F.col(content), rules or default_rules())
-        tokens = X.approx_tokens(F.col(content))
-        return docs.select(
+        return with_rule_positions(docs, content, rules or default_rules()).select(
             *others,
-            F.coalesce(shaped, F.array().cast(f"array<{_POSITION}>")).alias("positions"),
-            tokens.alias("input_tokens"),
+            "positions",
+            X.approx_tokens(F.col(content)).alias("input_tokens"),
             F.lit(0).alias("output_tokens"),
             F.lit(None).cast("string").alias("error"),
         )

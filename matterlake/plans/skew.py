@@ -57,10 +57,12 @@ def with_neighbours(
     order: Sequence[str],
     id_col: str,
     hot_rows: int = HOT_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Adds ``next_id``, ``previous_id`` and ``version`` (from 1) in key order.
 
-    ``order`` must be a total order within a key.
+    ``order`` must be a total order within a key.  A slice of a hot key holds
+    about ``slice_rows`` rows (default: ``hot_rows``).
     """
     hot = hot_keys(df, keys, hot_rows)
     if hot is None:
@@ -70,7 +72,7 @@ def with_neighbours(
     frame = F.broadcast(frame)
     cold = df.join(frame, _same(df, frame, keys), "left_anti")
     large = df.join(frame, _same(df, frame, keys), "left_semi")
-    slices = max(2, -(-n // hot_rows))
+    slices = max(2, -(-n // (slice_rows or hot_rows)))
     return _whole_keys(cold, keys, order, id_col).unionByName(
         _sliced_keys(large, keys, order, id_col, slices)
     )

@@ -41,3 +41,24 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt evenly over the session's shuffle partitions.
+
+    For work whose cost per row is far above that of moving the row, so that
+    neither a few large input files nor a run of long texts sit in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def spread_if_narrow(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores is dealt over the cores.
+
+    A large table has more splits than cores and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

@@ -63,7 +63,7 @@ def latest_positions(s):
 )
 def supersede_hot_keys(s):
     # A threshold under the largest keys takes the sliced plan.
-    return P.supersede(s.positions, hot_rows=15).select(
+    return P.supersede(s.positions, hot_rows=15, slice_rows=700).select(
         "id", "superseded_by", "supersedes", "version"
     )
 

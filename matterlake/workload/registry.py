@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matterlake.workload.standins import frame, with_standins
+from matterlake.workload.standins import frame, table, with_standins
 
 Query = Callable[["Source"], DataFrame]
 
@@ -20,7 +20,7 @@ class Source:
         return frame(self.spark, self.sf_dir, name)
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return table(self.spark, self.sf_dir, name)
 
 
 QUERIES: dict[str, Query] = {}

@@ -6,11 +6,15 @@ without zone.  Every stand-in reads its whole table.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matterlake.plans.storage import spread_if_narrow
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+LONG_TEXTS = ("documents",)
+
 SQL: dict[str, str] = {}
 
 SQL["positions"] = """
@@ -246,9 +250,18 @@ def _format(name: str, tables: dict[str, str], ntz: str) -> str:
     return SQL[name].format(ntz=ntz, **tables).strip()
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A benchmark table; long texts in too few splits are dealt out first."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_if_narrow(scan) if name in LONG_TEXTS else scan
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The stand-in as a Spark frame over the Parquet files."""
-    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE}
+    used = [t for t in BASE if "{" + t + "}" in SQL[name]]
+    for t in used:
+        table(spark, sf_dir, t).createOrReplaceTempView(f"standin_{t}")
+    tables = {t: f"standin_{t}" for t in BASE}
     return spark.sql(_format(name, tables, "TIMESTAMP_NTZ"))
 
 
