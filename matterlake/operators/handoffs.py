@@ -42,7 +42,9 @@ def scored_candidates(signals: DataFrame, handoffs: DataFrame) -> DataFrame:
         F.col("_paragraphs"),
         F.col("_words"),
     ]
-    stored = candidates(handoffs).withColumnRenamed("id", "handoff_id")
+    # Only titles somebody asks for are ranked.
+    wanted = handoffs.join(asked.select(*TITLE), list(TITLE), "left_semi")
+    stored = candidates(wanted).withColumnRenamed("id", "handoff_id")
     return (
         asked.join(stored, list(TITLE))
         .withColumn("tier", D.match_tier(*sizes))

@@ -50,8 +50,12 @@ def by_office_id(
     hints: DataFrame, documents: DataFrame, matters: DataFrame
 ) -> DataFrame:
     """Step 1: the office id of exactly one document of the firm."""
+    # Only documents somebody asks for are grouped.
+    asked = hints.where(_given(F.col("word_doc_id")))
+    key = ["firm_id", "word_doc_id"]
     single = (
-        documents.where(F.col("word_doc_id").isNotNull())
+        documents.select(*key, "id", "matter_id", "name", "is_precedent")
+        .join(asked.select(*key), key, "left_semi")
         .groupBy("firm_id", "word_doc_id")
         .agg(
             F.count(F.lit(1)).alias("_n"),
@@ -62,9 +66,7 @@ def by_office_id(
         )
         .where(F.col("_n") == 1)
     )
-    found = hints.where(_given(F.col("word_doc_id"))).join(
-        single, ["firm_id", "word_doc_id"]
-    )
+    found = asked.join(single, key)
     return _known_matter(found, matters).select(
         "request_id",
         "firm_id",
