@@ -97,7 +97,7 @@ def _shipped(queries: list, memory: DataFrame, k: int) -> DataFrame:
     """Scan the memory once, with all queries at hand (a checked number)."""
     held = memory.sparkSession.sparkContext.broadcast(
         [
-            (r["request_id"], r["firm_id"], [float(x) for x in r["query"]], r["wanted"])
+            (r["request_id"], r["firm_id"], np.asarray(r["query"], float), r["wanted"])
             for r in queries
         ]
     )

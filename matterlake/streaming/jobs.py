@@ -4,17 +4,17 @@ State and checkpoints live in the shared folder.  Sinks are file tables; no
 result passes through the driver.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matterlake.operators import access as A
 from matterlake.operators.handoffs import upsert_handoffs
-from matterlake.plans.storage import scratch_path
+from matterlake.operators.positions import KEY, ORDER
+from matterlake.plans.skew import HOT_ROWS, with_neighbours
+from matterlake.plans.storage import scratch_path, written
 from matterlake.sources.sinks import audit_rows
 
 
@@ -27,8 +27,7 @@ def file_stream(
 ) -> DataFrame:
     """A growing folder of Parquet files as a stream.
 
-    ``files_per_trigger`` bounds a micro-batch, and with it the rows of one
-    key that a stateful task sees at once.
+    ``files_per_trigger`` bounds a micro-batch.
     """
     reader = spark.readStream.schema(schema)
     if pattern is not None:
@@ -105,42 +104,51 @@ def audit_stream(
     )
 
 
-def supersession_links(
-    positions: DataFrame, keys: tuple[str, ...] = ("firm_id", "matter_id", "clause_type")
-) -> DataFrame:
-    """Stream of (keys, id, superseded_by) links as newer rows arrive.
+def supersession_stream(
+    positions: DataFrame,
+    links_path: str,
+    state_path: str,
+    keys: tuple[str, ...] = KEY,
+    checkpoint: str | None = None,
+    hot_rows: int = HOT_ROWS,
+    slice_rows: int | None = None,
+) -> None:
+    """Write (keys, id, superseded_by) links as newer rows arrive.
 
-    The state of a key is the id of its current row.  Rows of one micro-batch
-    apply in (created_at, seq, id) order; only these columns reach the
-    stateful operator, whose input is bounded by the micro-batch.
+    Inside a micro-batch the batch operator links the rows of a key, so a key
+    with most of the rows is sliced over many tasks.  The first new row of a
+    key supersedes its row in the state table; the last one takes its place.
+    Both tables are written per batch from the version before: a repeated
+    batch gives the same files.
     """
-    key_fields = [positions.schema[k] for k in keys]
-    out = T.StructType(
-        [
-            *key_fields,
-            T.StructField("id", T.StringType()),
-            T.StructField("superseded_by", T.StringType()),
-        ]
-    )
-    state = T.StructType([T.StructField("current_id", T.StringType())])
-
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], held: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["created_at", "seq", "id"])
-        ids = list(rows["id"])
-        older = [held.get[0], *ids[:-1]] if held.exists else ids[:-1]
-        newer = ids[len(ids) - len(older) :]
-        held.update((ids[-1],))
-        frame = pd.DataFrame({"id": older, "superseded_by": newer})
-        for name, value in reversed(list(zip(keys, key))):
-            frame.insert(0, name, value)
-        yield frame
-
-    slim = positions.select(*keys, "id", "created_at", "seq")
-    return slim.groupBy(*keys).applyInPandasWithState(
-        advance, out, state, "append", GroupStateTimeout.NoTimeout
-    )
+    schema = T.StructType([positions.schema[n] for n in (*keys, "id")])
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        slim = batch.select(*keys, *ORDER)
+        linked = written(
+            with_neighbours(slim, keys, ORDER, "id", hot_rows, slice_rows), "linked"
+        )
+        before = (
+            session.createDataFrame([], schema)
+            if batch_id == 0
+            else session.read.schema(schema).parquet(
+                f"{state_path}/version={batch_id - 1}"
+            )
+        )
+        first = linked.where(F.col("previous_id").isNull()).select(
+            *keys, F.col("id").alias("superseded_by")
+        )
+        last = linked.where(F.col("next_id").isNull()).select(*keys, "id")
+        inner = linked.where(F.col("next_id").isNotNull()).select(
+            *keys, "id", F.col("next_id").alias("superseded_by")
+        )
+        links = inner.unionByName(before.join(first, list(keys)))
+        links.write.mode("overwrite").parquet(f"{links_path}/batch={batch_id}")
+        state = before.join(last, list(keys), "left_anti").unionByName(last)
+        state.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
+
+    drain_batches(positions, apply, checkpoint)
 
 
 def handoff_stream(

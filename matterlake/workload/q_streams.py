@@ -53,7 +53,10 @@ def _positions_stream(s):
     "positions",
 )
 def stream_supersession(s):
-    return _drained(s, J.supersession_links(_positions_stream(s)), "links")
+    links = scratch_path(s.spark, "links")
+    state = scratch_path(s.spark, "state")
+    J.supersession_stream(_positions_stream(s), links, state)
+    return s.spark.read.parquet(links).drop("batch")
 
 
 @query(

@@ -38,11 +38,17 @@ def test_supersession_over_batches(spark):
         part = rows.where(f"id >= 'p{lo:03d}' and id < 'p{lo + 30:03d}'")
         part.coalesce(1).write.mode("append").parquet(path)
     stream = J.file_stream(spark, path, rows.schema, files_per_trigger=1)
-    out = scratch_path(spark, "links")
-    J.drain_to_table(J.supersession_links(stream), out)
+    out, state = scratch_path(spark, "links"), scratch_path(spark, "state")
+    # The hot key has ten rows in each batch.
+    J.supersession_stream(stream, out, state, hot_rows=5, slice_rows=3)
     got = {(r["id"], r["superseded_by"]) for r in spark.read.parquet(out).collect()}
     batch = P.supersede(rows).where("superseded_by is not null")
     assert got == {(r["id"], r["superseded_by"]) for r in batch.collect()}
+    held = spark.read.parquet(f"{state}/version=2")
+    now = P.current(P.supersede(rows))
+    assert sorted(r["id"] for r in held.collect()) == sorted(
+        r["id"] for r in now.collect()
+    )
 
 
 def test_intake_stream_handles_each_request_once(spark):
