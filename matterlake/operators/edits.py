@@ -1,7 +1,6 @@
 """Minimal word edits of (old, new) text pairs.
 
-Pairs: (pair_id, old_text, new_text).  The guard runs on native columns; only
-pairs that pass it reach the Python worker.
+Pairs: (pair_id, old_text, new_text).
 """
 
 from collections.abc import Iterator
@@ -11,42 +10,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matterlake import schemas as S
-from matterlake.functions import text as X
-from matterlake.functions.wordedits import word_edits
+from matterlake.functions.wordedits import word_counts, word_edits
 from matterlake.plans.storage import spread
 
 _RESULT = (
     "struct<edits:array<struct<old_text:string,new_text:string,old_start:int>>,"
-    "old_words:int,changed_words:int>"
+    "old_words:int,new_words:int,changed_words:int>"
 )
 
 
+def _diff(old: str | None, new: str | None, context_words: int) -> tuple:
+    """Edits and counts; no edits for a pair that the guard rejects."""
+    if old is None or new is None:
+        return None, None, None, None
+    n_old, n_new = word_counts(old, new)
+    if max(n_old, n_new) > S.DIFF_MAX_WORDS or (n_old == 0 and n_new > 0):
+        return None, n_old, n_new, None
+    edits, changed = word_edits(old, new, context_words)
+    listed = [{"old_text": o, "new_text": w, "old_start": s} for o, w, s in edits]
+    return listed, n_old, n_new, changed
+
+
 def _edits_of(context_words: int):
     @F.pandas_udf(_RESULT)
     def edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        names = ["edits", "old_words", "new_words", "changed_words"]
         for old, new in batches:
-            rows = []
-            for before, after in zip(old, new):
-                if before is None or after is None:
-                    rows.append((None, None, None))
-                    continue
-                found, n, changed = word_edits(before, after, context_words)
-                listed = [
-                    {"old_text": o, "new_text": w, "old_start": s} for o, w, s in found
-                ]
-                rows.append((listed, n, changed))
-            yield pd.DataFrame(rows, columns=["edits", "old_words", "changed_words"])
+            rows = [_diff(o, n, context_words) for o, n in zip(old, new)]
+            yield pd.DataFrame(rows, columns=names)
 
     return edits
 
 
-def pair_error() -> Column:
-    """Why a pair cannot be diffed, or null."""
-    old_words = X.word_count(F.col("old_text"))
-    new_words = X.word_count(F.col("new_text"))
-    too_long = (old_words > S.DIFF_MAX_WORDS) | (new_words > S.DIFF_MAX_WORDS)
+def _pair_error() -> Column:
+    """Why a pair was not diffed, or null."""
+    old_words, new_words = F.col("_r.old_words"), F.col("_r.new_words")
+    too_long = F.greatest(old_words, new_words) > S.DIFF_MAX_WORDS
     return (
-        F.when(F.col("old_text").isNull() | F.col("new_text").isNull(), "text missing")
+        F.when(old_words.isNull(), "text missing")
         .when(too_long, f"more than {S.DIFF_MAX_WORDS} words on a side")
         .when((old_words == 0) & (new_words > 0), "old text has no words")
     )
@@ -56,13 +57,16 @@ def diff_pairs(pairs: DataFrame, context_words: int = 2) -> DataFrame:
     """One row per pair: its edits as an array, statistics, or an error."""
     if not 1 <= context_words <= 6:
         raise ValueError("context_words must be between 1 and 6")
-    # Quadratic work per pair: move the pairs before, not after.
-    judged = spread(pairs, "pair_id").withColumn("error", pair_error())
-    fine = F.col("error").isNull()
-    result = _edits_of(context_words)(
-        F.when(fine, F.col("old_text")), F.when(fine, F.col("new_text"))
+    result = _edits_of(context_words)(F.col("old_text"), F.col("new_text"))
+    # The work per pair grows with the square of its length: move the pairs
+    # before it, so that no task holds a run of long ones.
+    judged = (
+        spread(pairs, "pair_id")
+        .select("pair_id", result.alias("_r"))
+        .withColumn("error", _pair_error())
     )
-    return judged.withColumn("_r", result).select(
+    fine = F.col("error").isNull()
+    return judged.select(
         "pair_id",
         F.col("_r.edits").alias("edits"),
         F.when(fine, F.size("_r.edits") == 0).alias("unchanged"),

@@ -216,6 +216,10 @@ def exploded_positions(extracted: DataFrame) -> DataFrame:
         for c in extracted.columns
         if c not in ("positions", "input_tokens", "output_tokens", "error")
     ]
-    return extracted.select(
-        *others, F.posexplode("positions").alias("seq", "_p")
-    ).select(*others, "seq", "_p.*")
+    # The outer form: for the inner one Catalyst derives a filter on the array's
+    # size, which would run the whole extraction a second time under the scan.
+    return (
+        extracted.select(*others, F.posexplode_outer("positions").alias("seq", "_p"))
+        .where(F.col("seq").isNotNull())
+        .select(*others, "seq", "_p.*")
+    )

@@ -25,6 +25,7 @@ from matterlake.plans.skew import top_per_group
 from matterlake.plans.storage import written
 
 SHIPPED_QUERIES = 2048
+PUSHED_FIRMS = 500
 BLOCK_QUERIES = 1024
 BLOCK_ROWS = 20_000
 
@@ -95,6 +96,10 @@ def _block_hits(queries: pd.DataFrame, memory: pd.DataFrame, k: int) -> pd.DataF
 
 def _shipped(queries: list, memory: DataFrame, k: int) -> DataFrame:
     """Scan the memory once, with all queries at hand (a checked number)."""
+    firms = sorted({r["firm_id"] for r in queries if r["firm_id"] is not None})
+    if len(firms) <= PUSHED_FIRMS:
+        # Reaches the scan: other firms' files and row groups are skipped.
+        memory = memory.where(F.col("firm_id").isin(firms))
     held = memory.sparkSession.sparkContext.broadcast(
         [
             (r["request_id"], r["firm_id"], np.asarray(r["query"], float), r["wanted"])

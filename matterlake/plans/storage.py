@@ -27,7 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the application's own folder.
+
+    The folder carries the application id, so what a finished application
+    left can be expired as a whole.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "cut") -> DataFrame:

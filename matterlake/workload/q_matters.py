@@ -777,3 +777,62 @@ def revoked_members(s):
     return A.revoke(s.firm_users, verdicts, now()).select(
         "user_id", "firm_id", "min_token_iat"
     )
+
+
+@query(
+    "users_by_email",
+    """WITH users AS (SELECT 'u' || c_custkey AS user_id,
+                lower(c_mktsegment) || c_custkey % 700 || '@x.org' AS email FROM customer),
+       first_ AS (SELECT email, min(user_id) AS user_id FROM users GROUP BY email)
+       SELECT 'r' || o_orderkey AS request_id, f.user_id
+       FROM orders LEFT JOIN first_ f
+         ON f.email = 'building' || o_custkey % 900 || '@x.org'""",
+)
+def users_by_email(s):
+    def address(prefix, number):
+        return F.concat(prefix, number.cast("string"), F.lit("@X.org"))
+
+    users = s.base("customer").select(
+        F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"),
+        address(F.col("c_mktsegment"), F.col("c_custkey") % 700).alias("email"),
+    )
+    requests = s.base("orders").select(
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("request_id"),
+        address(F.lit("Building"), F.col("o_custkey") % 900).alias("email"),
+    )
+    return A.users_by_email(requests, users).select("request_id", "user_id")
+
+
+@query(
+    "position_list_counts",
+    """WITH linked AS (SELECT *, lead(id) OVER (
+           PARTITION BY firm_id, matter_id, clause_type ORDER BY created_at, seq, id)
+           AS superseded_by FROM positions)
+       SELECT firm_id, matter_id, count(*) AS count,
+              count(*) FILTER (WHERE superseded_by IS NULL AND status = 'open')
+                  AS open_count FROM linked GROUP BY ALL""",
+    "positions",
+)
+def position_list_counts(s):
+    from matterlake.operators import positions as P
+
+    linked = P.supersede(s.positions)
+    is_open = F.col("superseded_by").isNull() & (F.col("status") == "open")
+    return linked.groupBy("firm_id", "matter_id").agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(is_open).alias("open_count")
+    )
+
+
+@query(
+    "other_counterparties",
+    f"""WITH {PARTIES}
+    SELECT m.id, coalesce(string_agg(q.party_id, ',' ORDER BY q.party_id), '') AS others
+    FROM matters m LEFT JOIN parties q
+      ON q.firm_id = m.firm_id AND q.matter_id = m.id AND q.party_id <> 'unknown'
+    GROUP BY m.id""",
+    "matters",
+)
+def other_counterparties(s):
+    view = MT.matter_view(s.matters)
+    others = C.others_of(C.counterparties(F.col("parties")), F.lit("unknown"))
+    return view.select("id", F.array_join(others, ",").alias("others"))
