@@ -65,15 +65,18 @@ def history(
 
 
 def write_positions(
-    stored: DataFrame, batch: DataFrame, hot_rows: int = HOT_ROWS
+    stored: DataFrame,
+    batch: DataFrame,
+    order: Sequence[str] = ORDER,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The stored table after a batch of new rows.
+    """The stored table after a batch of new rows (in ``order``).
 
     The first new row of a key supersedes every stored row of the key that is
     still current; within the batch each row supersedes the one before it.
     Rows superseded earlier keep their link.
     """
-    place = F.struct(*ORDER)
+    place = F.struct(*order)
     first_new = batch.groupBy(*KEY).agg(F.min_by("id", place).alias("_first"))
     columns = stored.columns
     closed = stored.join(first_new, list(KEY), "left").select(
@@ -84,7 +87,7 @@ def write_positions(
             for c in columns
         ]
     )
-    fresh = supersede(batch, hot_rows=hot_rows).drop("supersedes", "version")
+    fresh = supersede(batch, order=order, hot_rows=hot_rows)
     return closed.unionByName(fresh.select(*columns))
 
 

@@ -173,6 +173,7 @@ def run_intake(
         now.alias("extracted_at"),
         F.lit(extraction_model).alias("extracted_by"),
         "confidence",
+        F.lit(None).cast("string").alias("raw_extract"),
         now.alias("created_at"),
         now.alias("updated_at"),
         "seq",
@@ -233,6 +234,17 @@ def run_intake(
     )
 
 
+def store_positions(stored: DataFrame, result: IntakeResult) -> DataFrame:
+    """The position table after an intake run.
+
+    Documents take effect in the order they were queued, positions of one
+    document in list order.
+    """
+    return P.write_positions(
+        stored, result.positions, order=("queued_at", "seq", "id")
+    )
+
+
 def preview_positions(
     drafts: DataFrame,
     matters: DataFrame,

@@ -237,3 +237,35 @@ def test_backfill_limit_and_dry_run(spark):
     assert I.backfill(docs, jobs, matters, embed, dry_run=True).intake is None
     out = I.backfill(docs, jobs, matters, embed).outcomes.collect()
     assert [tuple(r) for r in out] == [("f", 4, 0, 0)]
+
+
+def test_stored_positions_follow_the_queue(spark):
+    text = "The parties agree on fees and scope. " * 3
+    docs = spark.createDataFrame(
+        [(d, "f", "m", text + d, None) for d in ("late", "soon")],
+        "id string, firm_id string, matter_id string, content string, doc_type string",
+    )
+    jobs = spark.createDataFrame(
+        [("a", "f", "late", "m", "pending", 9), ("b", "f", "soon", "m", "pending", 1)],
+        "id string, firm_id string, document_id string, matter_id string, status string, "
+        "queued_at int",
+    )
+    matters = spark.createDataFrame(
+        [("m", "f", "n", "c")],
+        "id string, firm_id string, matter_name string, client_name string",
+    )
+    run = I.run_intake(
+        jobs, docs, matters, models.hashing_embedder(8), rules={"fees": "fees"}
+    )
+    names = [c for c in run.positions.columns if c != "queued_at"]
+    old = run.positions.limit(1).select(
+        *[F.lit("old").alias(c) if c == "id" else F.col(c) for c in names],
+        F.lit(None).cast("string").alias("superseded_by"),
+    )
+    after = {
+        r["source_document_id"] if r["id"] != "old" else "old": r
+        for r in I.store_positions(old, run).collect()
+    }
+    assert after["old"]["superseded_by"] == after["soon"]["id"]
+    assert after["soon"]["superseded_by"] == after["late"]["id"]
+    assert after["late"]["superseded_by"] is None
