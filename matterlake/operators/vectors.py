@@ -26,8 +26,8 @@ from matterlake.plans.storage import written
 
 SHIPPED_QUERIES = 2048
 PUSHED_FIRMS = 500
-BLOCK_QUERIES = 1024
-BLOCK_ROWS = 20_000
+BLOCK_QUERIES = 4096
+BLOCK_ROWS = 8192
 
 # Distances are rounded to this many digits, so that copies of a vector tie
 # whatever block they fall in.
