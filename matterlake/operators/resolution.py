@@ -279,8 +279,8 @@ def by_names_in_hint(hints: DataFrame, matters: DataFrame) -> DataFrame:
         texts,
         X.contains_word,
         by_words=True,
-        carry=("request_id",),
-    ).select("firm_id", "pattern", "request_id")
+        text_id="request_id",
+    )
     # A pattern can meet a text once per part size only, so pairs are distinct.
     scores = (
         pairs.join(names, ["firm_id", "pattern"])

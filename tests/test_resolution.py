@@ -146,7 +146,9 @@ def test_containment_equals_brute_force(spark, monkeypatch, few):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_word_containment_equals_brute_force(spark):
+@pytest.mark.parametrize("long", [20, 1000])
+def test_word_containment_equals_brute_force(spark, monkeypatch, long):
+    monkeypatch.setattr(CT, "LONG_TEXT", long)
     r = random.Random(5)
     tokens = ["acme", "a", "nda", "elion", "(x)", "é", "..", "b-c", "日本語", "nda2"]
     names = {" ".join(r.choices(tokens, k=r.randint(1, 3))) for _ in range(60)}
@@ -160,7 +162,7 @@ def test_word_containment_equals_brute_force(spark):
         [("f", x, i) for i, x in texts], "firm_id string, text string, request_id string"
     )
     found = CT.containment_pairs(
-        p, t, X.contains_word, by_words=True, carry=("request_id",)
+        p, t, X.contains_word, by_words=True, text_id="request_id"
     )
     got = sorted((x["pattern"], x["request_id"]) for x in found.collect())
     brute = p.crossJoin(t.drop("firm_id")).where(
