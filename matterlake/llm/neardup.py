@@ -14,8 +14,9 @@ similarity of 0.8 or more of their elements' sets, checked exactly; classes are
 the connected components of the links.
 
 1. One row per distinct set: copies share a key and are never paired.
-2. Sets that share a band form a bucket.  In each bucket all members are held
-   against its hub, the member with the largest buckets over all bands.
+2. Sets that share a band form a bucket, whose hub is the member with the largest
+   buckets over all bands.  Each member is held against the worthiest of its
+   hubs, then against those of its hubs to which it is not yet connected.
 3. Buckets whose members are not yet connected: pairs across components, each in
    its first common band, first by signature, then exactly.  A bucket of more
    than ``BLOCK`` members is cut into blocks that meet two by two.
@@ -284,18 +285,43 @@ def _buckets(sets: DataFrame) -> DataFrame:
     return written(filed.join(shared, "bucket"), "buckets")
 
 
-def _hub_pairs(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_hubs(buckets: DataFrame) -> DataFrame:
+    """(set_key, bucket, size, hub, worth of the hub): each bucket's hub."""
     worth = buckets.groupBy("set_key").agg(F.sum("size").alias("worth"))
-    valued = buckets.join(worth, "set_key")
-    hubs = valued.groupBy("bucket").agg(
-        F.max(F.struct("worth", "set_key")).alias("hub")
+    hubs = (
+        buckets.join(worth, "set_key")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("worth", "set_key")).alias("hub"))
+        .select("bucket", F.col("hub.set_key").alias("hub"), F.col("hub.worth").alias("worth"))
     )
-    pairs = (
-        buckets.join(hubs, "bucket")
-        .select(F.col("set_key").alias("x"), F.col("hub.set_key").alias("y"))
-        .where(F.col("x") != F.col("y"))
-        .distinct()
+    return written(buckets.join(hubs, "bucket"), "hubs")
+
+
+def _first_pairs(hubbed: DataFrame) -> DataFrame:
+    """Each member and the worthiest hub of its buckets: one pair a member."""
+    best = (
+        hubbed.where(F.col("set_key") != F.col("hub"))
+        .groupBy("set_key")
+        .agg(F.max(F.struct("worth", "hub")).alias("best"))
+    )
+    return best.select(F.col("set_key").alias("x"), F.col("best.hub").alias("y"))
+
+
+def _further_pairs(hubbed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members and the hubs of their buckets that are not yet connected."""
+    named = hubbed.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select(
+        F.col("set_key").alias("x"),
+        F.col("hub").alias("y"),
+        F.coalesce("label", "set_key").alias("_x_label"),
+    )
+    pairs = named.where(F.col("x") != F.col("y")).distinct()
+    ends = pairs.join(
+        labels.select(F.col("node").alias("y"), F.col("label").alias("_y_label")), "y", "left"
     )
+    return ends.where(F.col("_x_label") != F.coalesce("_y_label", "y")).select("x", "y")
+
+
+def _signed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     signs = sets.select("set_key", "signature")
     return pairs.join(
         signs.select(F.col("set_key").alias("x"), F.col("signature").alias("sx")), "x"
@@ -377,13 +403,12 @@ def _block_pairs(large: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, counted: bool = False) -> DataFrame:
-    """(doc_id, text_key, class_id, class_key, n_links) per document row.
+    """(doc_id, text_key, class_id, class_key) per document row.
 
     ``class_id`` is the smallest doc_id of the class, ``class_key`` its text key
     there.  Texts without words are one class (equal texts always share one);
     null texts count as empty.  A null doc_id sorts behind all others.  Repeated
-    rows are rows.  Other columns are not read.  ``n_links``: links found for
-    the document's set (to sets of other texts).
+    rows are rows.  Other columns are not read.
     """
     signed = written(signatures(docs, counted), "signatures")
     one = signed.groupBy("set_key").agg(
@@ -404,27 +429,24 @@ def classes(docs: DataFrame, counted: bool = False) -> DataFrame:
         texts = keyed.join(chosen, "text_key").groupBy("set_key").agg(F.first("text").alias("text"))
         return _linked(pairs, texts)
 
-    links = checked(_plausible(_hub_pairs(buckets, sets)))
+    hubbed = _with_hubs(buckets)
+    links = checked(_plausible(_signed(_first_pairs(hubbed), sets)))
     labels = components(links)
-    more = checked(_open_pairs(buckets, sets, labels))
-    links = links.unionByName(more)
-    if more.limit(1).count():
-        labels = components(links)
-    degree = (
-        links.select(F.col("x").alias("set_key"))
-        .union(links.select("y"))
-        .groupBy("set_key")
-        .agg(F.count(F.lit(1)).alias("n_links"))
-    )
+    for find in (
+        lambda: _plausible(_signed(_further_pairs(hubbed, labels), sets)),
+        lambda: _open_pairs(buckets, sets, labels),
+    ):
+        more = checked(find())
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = components(links)
     named = (
         signed.select("doc_id", "text_key", "set_key")
         .join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
-        .join(degree, "set_key", "left")
         .select(
             "doc_id",
             "text_key",
             F.coalesce("label", "set_key").alias("_class"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
     named = written(named, "named")
@@ -436,7 +458,6 @@ def classes(docs: DataFrame, counted: bool = False) -> DataFrame:
         "text_key",
         F.col("_first.doc_id").alias("class_id"),
         F.col("_first.text_key").alias("class_key"),
-        "n_links",
     )
 
 

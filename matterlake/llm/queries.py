@@ -103,7 +103,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "n_links")
+    return found.select("doc_id", "class_id")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

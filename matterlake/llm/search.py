@@ -9,9 +9,9 @@ shard scores alike and the best ``k`` of all shards are exact.
 A shard is searched in the manner of block-max WAND, a block of documents at a
 time instead of a cursor at a time:
 
-* the terms whose largest possible contributions together stay below the score
-  of the k-th best so far cannot make a hit alone (the pivot rule), so only
-  documents of the other terms are candidates;
+* the terms whose largest possible contributions together stay below a part of
+  the score of the k-th best so far cannot make a hit alone (the pivot rule), so
+  only documents of the other terms are candidates;
 * a candidate needs what it has from those terms, plus the block maxima of the
   rest in its block, to reach that score;
 * what is left is scored exactly, best bounds first, so the bar rises early.
@@ -41,6 +41,9 @@ SLACK = 1e-5
 BLOCK_TERMS = 1_500_000
 # One shard in this many is visited first, to know a bar for each query.
 FIRST = 8
+# Terms are left out of the first sum while their bounds stay below this part of
+# the bar: the rest of it is what the bounds of candidates may be too high by.
+PIVOT = 0.2
 
 _INDEX = (
     "n_docs long, n_words long, ids binary, lengths binary, terms binary, "
@@ -196,7 +199,7 @@ class Shard:
             few = few[: max(1, int(np.searchsorted(np.cumsum(size[few]), 4 * len(self.ids))))]
             best = self._take(self._partial(at[few], weight[few]), None, k, best, limit=4 * k)
         bar = self._bar(best, k)
-        rest = int(np.searchsorted(reach, bar - SLACK)) if bar > 0 else 0
+        rest = int(np.searchsorted(reach, PIVOT * bar - SLACK)) if bar > 0 else 0
         score = self._partial(at[rest:], weight[rest:])
         best = self._take(score, self._block_bound(at[:rest], weight[:rest]), k, best)
         self._weight[at] = 0.0
