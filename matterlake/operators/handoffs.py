@@ -12,6 +12,8 @@ from matterlake.functions import text as X
 from matterlake.plans.skew import top_per_group
 from matterlake.sources.sinks import derived_id
 
+# A request belongs to a firm: two firms may use the same request id.
+REQUEST = ("request_id", "firm_id")
 TITLE = ("firm_id", "doc_title_normalised")
 
 
@@ -66,7 +68,7 @@ def match_handoffs(signals: DataFrame, handoffs: DataFrame) -> DataFrame:
         (-F.unix_micros(F.col("last_active").cast("timestamp"))).alias("_age"),
         F.col("handoff_id"),
     )
-    best = scored.groupBy("request_id").agg(
+    best = scored.groupBy(*REQUEST).agg(
         F.min_by(
             F.struct(
                 "handoff_id",
@@ -83,7 +85,7 @@ def match_handoffs(signals: DataFrame, handoffs: DataFrame) -> DataFrame:
         ).alias("_best"),
         (F.count(F.lit(1)) - 1).alias("other_candidates"),
     )
-    joined = signals.select("request_id", "firm_id").join(best, "request_id", "left")
+    joined = signals.select(*REQUEST).join(best, list(REQUEST), "left")
     return joined.select(
         "request_id",
         "firm_id",
@@ -99,7 +101,7 @@ def update_targets(signals: DataFrame, handoffs: DataFrame) -> DataFrame:
         F.col("tier").isin("exact", "close")
     )
     newest = [F.col("last_active").desc(), F.col("handoff_id").asc()]
-    return top_per_group(near, ["request_id"], newest, 1).select(
+    return top_per_group(near, REQUEST, newest, 1).select(
         "request_id", "firm_id", "handoff_id", "tier"
     )
 
@@ -114,8 +116,8 @@ def upsert_handoffs(
     same row are applied in ``request_id`` order: the last one stays.
     """
     now = F.current_timestamp() if now is None else now
-    targets = update_targets(updates, handoffs).select("request_id", "handoff_id")
-    aimed = with_title_key(updates).join(targets, "request_id", "left")
+    targets = update_targets(updates, handoffs).select(*REQUEST, "handoff_id")
+    aimed = with_title_key(updates).join(targets, list(REQUEST), "left")
     fresh_id = derived_id("firm_id", "request_id", "doc_title")
     rows = aimed.select(
         F.coalesce("handoff_id", fresh_id).alias("id"),

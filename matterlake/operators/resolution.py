@@ -28,6 +28,10 @@ ANSWER = (
 )
 
 
+# A request belongs to a firm: two firms may use the same request id.
+REQUEST = ("request_id", "firm_id")
+
+
 def _given(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
@@ -244,32 +248,31 @@ def by_matter_name(hints: DataFrame, matters: DataFrame) -> DataFrame:
     return _without_document(cleaned.join(per_hint, ["firm_id", "pattern"]), 3)
 
 
-def by_names_in_hint(hints: DataFrame, matters: DataFrame) -> DataFrame:
+def by_names_in_hint(
+    hints: DataFrame, matters: DataFrame, newest: int | None = None
+) -> DataFrame:
     """Step 4: matter or client names that occur as words in the hint text.
 
-    A matter name scores 2, a client name 1; only the newest matters of a firm
-    are tried.  Best score first, then newest.
+    A matter name scores 2, a client name 1.  Best score first, then newest.
+    ``newest`` limits the search to that many newest matters of a firm.
     """
     hay = X.haystack(F.col("document_name"), F.col("content_snippet"))
     texts = hints.select("request_id", "firm_id", hay.alias("text")).where(
         F.length(X.trim_blanks(F.col("text"))) >= 3
     )
-    recent = top_per_group(
-        matters.select("id", "firm_id", "matter_name", "client_name", "created_at"),
-        ["firm_id"],
-        newest_first(),
-        S.REVERSE_SCAN_MATTERS,
-    ).withColumnRenamed("rank", "_age")
+    tried = matters.select("id", "firm_id", "matter_name", "client_name", "created_at")
+    if newest is not None:
+        tried = top_per_group(tried, ["firm_id"], newest_first(), newest).drop("rank")
     scored_names = F.array(
         F.struct(F.col("matter_name").alias("name"), F.lit(2).alias("points")),
         F.struct(F.col("client_name").alias("name"), F.lit(1).alias("points")),
     )
-    names = recent.select(
-        "firm_id", "id", "_age", F.explode(scored_names).alias("_n")
+    names = tried.select(
+        "firm_id", "id", "created_at", F.explode(scored_names).alias("_n")
     ).select(
         "firm_id",
         "id",
-        "_age",
+        "created_at",
         X.trim_blanks(F.lower("_n.name")).alias("pattern"),
         "_n.points",
     )
@@ -284,13 +287,13 @@ def by_names_in_hint(hints: DataFrame, matters: DataFrame) -> DataFrame:
     # A pattern can meet a text once per part size only, so pairs are distinct.
     scores = (
         pairs.join(names, ["firm_id", "pattern"])
-        .groupBy("request_id", "firm_id", "id", "_age")
+        .groupBy(*REQUEST, "id", "created_at")
         .agg(F.sum("points").alias("score"))
     )
     ranked = top_per_group(
         scores,
         ["request_id", "firm_id"],
-        [F.col("score").desc(), F.col("_age").asc()],
+        [F.col("score").desc(), *newest_first()],
         1 + S.ALTERNATIVES,
     )
     return _without_document(_ids_in_rank_order(ranked, ["request_id", "firm_id"]), 4)
@@ -314,11 +317,9 @@ def resolve_documents(
         lambda rest: by_names_in_hint(rest, matters),
     )
     for n, step in enumerate(steps, start=2):
-        rest = hints.join(answers.select("request_id"), "request_id", "left_anti")
+        rest = hints.join(answers.select(*REQUEST), list(REQUEST), "left_anti")
         answers = answers.unionByName(written(step(rest), f"step{n}"))
-    return hints.select("request_id", "firm_id").join(
-        answers.drop("firm_id"), "request_id", "left"
-    ).select(
+    return hints.select(*REQUEST).join(answers, list(REQUEST), "left").select(
         "request_id",
         "firm_id",
         F.coalesce("step", F.lit(0)).alias("step"),

@@ -195,7 +195,7 @@ def vector_topk(
     distance = F.when(F.col("distance") < float("inf"), F.col("distance"))
     best = top_per_group(
         hits.withColumn("distance", distance),
-        ["request_id"],
+        ["firm_id", "request_id"],
         [F.col("distance").asc_nulls_last(), F.col("id").asc()],
         k,
     )

@@ -260,7 +260,6 @@ SEARCH_DEFAULT_K = 8
 SEARCH_MAX_K = 20
 DIFF_MAX_WORDS = 2000
 DIRECTORY_ROWS = 50
-REVERSE_SCAN_MATTERS = 500
 HANDOFF_CANDIDATES = 20
 NAME_HITS = 5
 ALTERNATIVES = 3

@@ -446,7 +446,7 @@ def counterparty_history(s):
 def counterparty_clause_counts(s):
     return CP.history_counts(
         CP.counterparty_history(s.asked_parties, s.matters, _linked(s))
-    )
+    ).drop("firm_id")
 
 
 @query(

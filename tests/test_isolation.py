@@ -10,6 +10,7 @@ from matterlake.operators import matters as MT
 from matterlake.operators import positions as P
 from matterlake.operators import resolution as R
 from matterlake.operators import textmodel as TM
+from matterlake.operators import vectors as V
 from matterlake.plans import intake as I
 from matterlake.workload.q_documents import signals_of, stored_handoffs
 from matterlake.workload.registry import Source
@@ -94,3 +95,66 @@ def test_supersession_keeps_firms_apart(s):
         & (F.substring("superseded_by", 1, 1) != F.substring("id", 1, 1))
     )
     assert crossed.count() == 0
+
+
+def same_ids(df):
+    """Every request twice: from firm A and from firm B, under one id."""
+    b = df.withColumn("firm_id", F.lit("B"))
+    return of_a(df).unionByName(b)
+
+
+def per_firm(df, firm):
+    rows = df.where(F.col("firm_id") == firm).drop("firm_id").collect()
+    return sorted(str(r) for r in rows)
+
+
+def alike(ask, requests):
+    """Two firms asking under one id get what each gets alone."""
+    both = ask(same_ids(requests))
+    for firm in ("A", "B"):
+        alone = ask(requests.withColumn("firm_id", F.lit(firm)))
+        assert per_firm(both, firm) == per_firm(alone, firm)
+        assert alone.count() > 0
+
+
+def test_equal_request_ids_resolution(s):
+    docs, matters = two_firms(s.named_docs), two_firms(s.named_matters)
+    alike(lambda h: R.resolve_documents(h, docs, matters), s.hints)
+
+
+def test_equal_request_ids_handoffs(s):
+    stored = two_firms(stored_handoffs(s.sized))
+    asked = signals_of(s.sized)
+    alike(lambda r: H.match_handoffs(r, stored), asked)
+    alike(lambda r: H.update_targets(r, stored), asked)
+
+
+def test_equal_request_ids_vectors(spark):
+    memory = spark.createDataFrame(
+        [(f"{f}{i}", f, None, [float(i), 1.0]) for f in "AB" for i in range(5)],
+        "id string, firm_id string, matter_id string, embedding array<double>",
+    )
+    asked = spark.createDataFrame(
+        [("r", None, [1.0, 0.0])],
+        "request_id string, matter_id string, embedding array<double>",
+    ).withColumn("firm_id", F.lit("A"))
+    alike(lambda r: V.vector_topk(r, memory, k=3), asked)
+    assert V.vector_topk(same_ids(asked), memory, k=3).count() == 6
+
+
+def test_equal_request_ids_counterparties(s):
+    matters = two_firms(s.matters)
+    alike(lambda r: CP.matter_counts(r, matters), s.asked_parties)
+
+
+def test_a_name_behind_many_newer_matters_is_found(spark):
+    matters = spark.createDataFrame(
+        [(f"m{i}", "A", f"matter number n{i:04d}x", None, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}") for i in range(600)],
+        "id string, firm_id string, matter_name string, client_name string, created_at string",
+    )
+    hints = spark.createDataFrame(
+        [("r", "A", None, "about matter number n0005x today")],
+        "request_id string, firm_id string, document_name string, content_snippet string",
+    )
+    assert [r.matter_id for r in R.by_names_in_hint(hints, matters).collect()] == ["m5"]
+    assert R.by_names_in_hint(hints, matters, newest=500).count() == 0
