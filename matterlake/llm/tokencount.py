@@ -353,7 +353,8 @@ class Machine:
         return out
 
     def count_long(self, text: str, chunk: int = CHUNK) -> int:
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        starts = range(0, max(len(text), 1), chunk)
+        maps = [self.chunk_map(text[i : i + chunk]) for i in starts]
         while len(maps) > 1:
             joined = [self.compose(*maps[i : i + 2]) for i in range(0, len(maps) - 1, 2)]
             maps = joined + maps[2 * len(joined) :]

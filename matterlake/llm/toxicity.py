@@ -108,14 +108,13 @@ def fit_rows(
 ) -> Model:
     """``rows``: (features present, label); ``swaps``: features before, after."""
     y = np.array([label for _, label in rows])
-    size = np.array([len(f) for f, _ in rows])
-    flat = np.concatenate([f for f, _ in rows]) if rows else np.empty(0, np.int32)
-    row = np.repeat(np.arange(len(rows)), size)
     weights = np.zeros(WIDTH, np.float32)
     n, n1 = len(y), y.sum()
     base = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
     if not 0 < n1 < n:
         return Model(weights, base)
+    flat = np.concatenate([f for f, _ in rows])
+    row = np.repeat(np.arange(n), [len(f) for f, _ in rows])
     # The features that tell the classes apart best (difference of log odds in
     # units of its deviation).
     seen = np.bincount(flat, minlength=WIDTH)
