@@ -261,13 +261,14 @@ def against_edit(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     ends = rows.where(F.col("_end") >= 0).select("doc_id", "_text", "_part", "_end")
     heads = ends.where(F.col("_end") == 0).select("_part", F.col("_text").alias("_next"))
-    # Part numbers only: one small row per partition.
-    numbers = heads.select("_part").withColumn(
-        "_after", F.lead("_part").over(Window.orderBy("_part"))
+    # Part numbers only: one small row per partition, the last one's follower is
+    # the first.
+    along = Window.orderBy("_part")
+    first = F.min("_part").over(
+        along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    first = heads.agg(F.min("_part").alias("_first"))
-    follow = numbers.join(F.broadcast(first)).select(
-        "_part", F.coalesce("_after", "_first").alias("_to")
+    follow = heads.select(
+        "_part", F.coalesce(F.lead("_part").over(along), first).alias("_to")
     )
     links = (
         ends.where(F.col("_end") == 1)
