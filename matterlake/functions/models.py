@@ -9,6 +9,7 @@ import hashlib
 import re
 import time
 from collections.abc import Callable
+from itertools import zip_longest
 
 import numpy as np
 
@@ -55,31 +56,38 @@ def embed_batch(
     attempts: int = S.EMBED_ATTEMPTS,
     pause: float = FIRST_PAUSE,
 ) -> list[tuple]:
-    """[(vector or None, tokens, error or None)] in input order."""
-    reason = "unknown"
-    for attempt in range(attempts):
+    """[(vector or None, tokens, error or None)] in input order.
+
+    Tokens are an even share of the reported total, else estimated.
+    """
+    answer, reason = _tried(lambda: embed_fn(texts), attempts, pause)
+    if answer is None:
+        return [(None, _approx_tokens(t), reason) for t in texts]
+    vectors, total = answer
+    share = -(-total // len(texts)) if total else 0
+    rows = []
+    for text, vector in zip_longest(texts, list(vectors)[: len(texts)]):
+        tokens = share or _approx_tokens(text)
+        if vector is None:
+            rows.append((None, tokens, "no vector returned for this input"))
+        else:
+            rows.append(([float(x) for x in vector], tokens, None))
+    return rows
+
+
+def _tried(call: Callable[[], tuple], attempts: int, pause: float) -> tuple:
+    """(what ``call`` returned, None) or (None, why the last attempt failed)."""
+    for left in reversed(range(max(1, attempts))):
         try:
-            vectors, total = embed_fn(texts)
+            return call(), None
         except PermanentFailure as e:
+            return None, str(e)
+        except Exception as e:  # isolated: the rows carry the error
             reason = str(e)
-            break
-        except Exception as e:  # isolated: the slots carry the error
-            reason = str(e)
-            time.sleep(pause * 2**attempt)
-            continue
-        share = -(-total // len(texts)) if total else 0
-        out = []
-        for i, text in enumerate(texts):
-            vector = vectors[i] if i < len(vectors) else None
-            out.append(
-                (
-                    None if vector is None else [float(x) for x in vector],
-                    share or _approx_tokens(text),
-                    "no vector returned for this input" if vector is None else None,
-                )
-            )
-        return out
-    return [(None, _approx_tokens(t), reason) for t in texts]
+        if left:
+            time.sleep(pause)
+            pause *= 2
+    return None, reason
 
 
 def _approx_tokens(text: str) -> int:

@@ -133,20 +133,17 @@ def head(c: Column, n: int) -> Column:
 
 
 def context_block(
-    matter: Column, client: Column, side: Column, kind: Column, text: Column
+    matter: Column,
+    client: Column,
+    side: Column,
+    kind: Column,
+    text: Column,
+    labels: tuple[str, str, str, str] = ("matter", "client", "side", "kind"),
 ) -> Column:
-    """The labelled lines of what is known, then the document text."""
-    labelled = [
-        F.when(F.length(value) > 0, F.concat(F.lit(label + ": "), value))
-        for label, value in (
-            ("Matter", matter),
-            ("Client", client),
-            ("We represent", side),
-            ("Document type", kind),
-        )
+    """One line per known value under its label, an empty line, then the text."""
+    known = [
+        F.when(F.length(value) > 0, F.concat(F.lit(f"{label} = "), value, F.lit("\n")))
+        for label, value in zip(labels, (matter, client, side, kind))
     ]
-    lines = F.concat_ws("\n", *labelled)
-    header = F.when(
-        lines != "", F.concat(F.lit("Context:\n"), lines, F.lit("\n\n---\n\n"))
-    ).otherwise("")
-    return F.concat(header, F.lit("Document to extract positions from:\n\n"), text)
+    lines = F.concat_ws("", *known)
+    return F.concat(lines, F.when(lines != "", "\n").otherwise(""), text)

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matterlake import schemas as S
 from matterlake.functions.wordedits import word_counts, word_edits
 from matterlake.plans.storage import spread
 
@@ -19,51 +18,59 @@ _RESULT = (
 )
 
 
-def _diff(old: str | None, new: str | None, context_words: int) -> tuple:
+def _diff(
+    old: str | None, new: str | None, context_words: int, max_words: int | None
+) -> tuple:
     """Edits and counts; no edits for a pair that the guard rejects."""
     if old is None or new is None:
         return None, None, None, None
     n_old, n_new = word_counts(old, new)
-    if max(n_old, n_new) > S.DIFF_MAX_WORDS or (n_old == 0 and n_new > 0):
+    too_long = max_words is not None and max(n_old, n_new) > max_words
+    if too_long or (n_old == 0 and n_new > 0):
         return None, n_old, n_new, None
     edits, changed = word_edits(old, new, context_words)
     listed = [{"old_text": o, "new_text": w, "old_start": s} for o, w, s in edits]
     return listed, n_old, n_new, changed
 
 
-def _edits_of(context_words: int):
+def _edits_of(context_words: int, max_words: int | None):
     @F.pandas_udf(_RESULT)
     def edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         names = ["edits", "old_words", "new_words", "changed_words"]
         for old, new in batches:
-            rows = [_diff(o, n, context_words) for o, n in zip(old, new)]
+            rows = [_diff(o, n, context_words, max_words) for o, n in zip(old, new)]
             yield pd.DataFrame(rows, columns=names)
 
     return edits
 
 
-def _pair_error() -> Column:
+def _pair_error(max_words: int | None) -> Column:
     """Why a pair was not diffed, or null."""
     old_words, new_words = F.col("_r.old_words"), F.col("_r.new_words")
-    too_long = F.greatest(old_words, new_words) > S.DIFF_MAX_WORDS
-    return (
-        F.when(old_words.isNull(), "text missing")
-        .when(too_long, f"more than {S.DIFF_MAX_WORDS} words on a side")
-        .when((old_words == 0) & (new_words > 0), "old text has no words")
-    )
+    missing = F.when(old_words.isNull(), "text missing")
+    if max_words is not None:
+        too_long = F.greatest(old_words, new_words) > max_words
+        missing = missing.when(too_long, f"more than {max_words} words on a side")
+    return missing.when((old_words == 0) & (new_words > 0), "old text has no words")
+
 
+def diff_pairs(
+    pairs: DataFrame, context_words: int = 2, max_words: int | None = None
+) -> DataFrame:
+    """One row per pair: its edits as an array, statistics, or an error.
 
-def diff_pairs(pairs: DataFrame, context_words: int = 2) -> DataFrame:
-    """One row per pair: its edits as an array, statistics, or an error."""
+    Pairs of any length are compared; with ``max_words``, longer ones get an
+    error instead.
+    """
     if not 1 <= context_words <= 6:
         raise ValueError("context_words must be between 1 and 6")
-    result = _edits_of(context_words)(F.col("old_text"), F.col("new_text"))
+    result = _edits_of(context_words, max_words)(F.col("old_text"), F.col("new_text"))
     # The work per pair grows with the square of its length: move the pairs
     # before it, so that no task holds a run of long ones.
     judged = (
         spread(pairs, "pair_id")
         .select("pair_id", result.alias("_r"))
-        .withColumn("error", _pair_error())
+        .withColumn("error", _pair_error(max_words))
     )
     fine = F.col("error").isNull()
     return judged.select(
@@ -77,9 +84,11 @@ def diff_pairs(pairs: DataFrame, context_words: int = 2) -> DataFrame:
     )
 
 
-def tighten_edits(pairs: DataFrame, context_words: int = 2) -> DataFrame:
+def tighten_edits(
+    pairs: DataFrame, context_words: int = 2, max_words: int | None = None
+) -> DataFrame:
     """One row per edit; unchanged and rejected pairs keep one row."""
-    found = diff_pairs(pairs, context_words)
+    found = diff_pairs(pairs, context_words, max_words)
     return found.select(
         "pair_id",
         F.posexplode_outer("edits").alias("edit_index", "_e"),

@@ -6,7 +6,6 @@ Signals: (request_id, firm_id, doc_title, paragraph_count, word_count).
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matterlake import schemas as S
 from matterlake.functions import scoring as D
 from matterlake.functions import text as X
 from matterlake.plans.skew import top_per_group
@@ -24,85 +23,132 @@ def with_title_key(df: DataFrame) -> DataFrame:
     ).withColumn("empty_title", F.col("doc_title_normalised") == "")
 
 
-def candidates(handoffs: DataFrame, n: int = S.HANDOFF_CANDIDATES) -> DataFrame:
+def newest_handoffs(handoffs: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` handoffs of each title."""
     newest = [F.col("last_active").desc(), F.col("id").asc()]
     return top_per_group(handoffs, TITLE, newest, n).drop("rank")
 
 
-def scored_candidates(signals: DataFrame, handoffs: DataFrame) -> DataFrame:
-    """Every request with each candidate of its title within the bands."""
+def _size_class(words: Column) -> Column:
+    """Binary digits of the word count: sizes within a band differ by one at most."""
+    return F.length(F.bin(F.greatest(words.cast("long"), F.lit(32))))
+
+
+def scored_sizes(
+    signals: DataFrame, handoffs: DataFrame, n: int | None = None
+) -> DataFrame:
+    """Each asked size of a title with each stored size of it within the bands.
+
+    Handoffs of one title and size differ only in age, so one row, with its
+    newest handoff and their number, stands for all of them; requests of one
+    title and size get the same answer.  Copies on either side make no pairs.
+    """
     asked = with_title_key(signals).select(
-        "request_id",
         *TITLE,
         F.col("paragraph_count").alias("_paragraphs"),
         F.col("word_count").alias("_words"),
     )
+    age = -F.unix_micros(F.col("last_active").cast("timestamp"))
+    # Handoffs without a time come last.
+    newest = F.struct(
+        F.coalesce(age, F.lit((1 << 63) - 1)).alias("age"), F.col("id").alias("id")
+    )
+    stored = handoffs if n is None else newest_handoffs(handoffs, n)
     sizes: list[Column] = [
         F.col("paragraph_count"),
         F.col("word_count"),
         F.col("_paragraphs"),
         F.col("_words"),
     ]
-    # Only titles somebody asks for are ranked.
-    wanted = handoffs.join(asked.select(*TITLE), list(TITLE), "left_semi")
-    stored = candidates(wanted).withColumnRenamed("id", "handoff_id")
+    of_stored = (
+        stored.groupBy(*TITLE, "paragraph_count", "word_count")
+        .agg(F.min(newest).alias("_newest"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_class", _size_class(F.col("word_count")))
+    )
+    own = _size_class(F.col("_words"))
     return (
-        asked.join(stored, list(TITLE))
+        asked.distinct()
+        .withColumn("_class", F.explode(F.array(own - 1, own, own + 1)))
+        .join(of_stored.hint("merge"), [*TITLE, "_class"])
         .withColumn("tier", D.match_tier(*sizes))
         .where(F.col("tier").isNotNull())
         .withColumn("combined", D.combined_delta(*sizes))
     )
 
 
-def match_handoffs(signals: DataFrame, handoffs: DataFrame) -> DataFrame:
+def _answered(signals: DataFrame, best: DataFrame, how: str) -> DataFrame:
+    """Every request with the row of ``best`` for its title and size."""
+    keyed = with_title_key(signals).select(
+        "request_id",
+        *TITLE,
+        F.col("paragraph_count").alias("_paragraphs"),
+        F.col("word_count").alias("_words"),
+    )
+    return keyed.join(best, [*TITLE, "_paragraphs", "_words"], how)
+
+
+def match_handoffs(
+    signals: DataFrame, handoffs: DataFrame, n: int | None = None
+) -> DataFrame:
     """The best handoff per request and the number of other candidates.
 
-    Best tier, then smallest combined difference, then newest.  A request has
-    at most ``HANDOFF_CANDIDATES`` rows here, so the ranking stays small.
+    Best tier, then smallest combined difference, then newest.  With ``n`` only
+    the newest ``n`` handoffs of a title are compared.
     """
-    scored = scored_candidates(signals, handoffs)
-    order = (
-        D.tier_rank(F.col("tier")).alias("_tier"),
-        F.col("combined"),
-        (-F.unix_micros(F.col("last_active").cast("timestamp"))).alias("_age"),
-        F.col("handoff_id"),
-    )
-    best = scored.groupBy(*REQUEST).agg(
-        F.min_by(
-            F.struct(
-                "handoff_id",
-                "tier",
-                "combined",
-                "doc_title",
-                "summary",
-                "last_active",
-                "turn_count",
-                F.col("paragraph_count").alias("paragraph_count_then"),
-                F.col("word_count").alias("word_count_then"),
-            ),
-            F.struct(*order),
-        ).alias("_best"),
-        (F.count(F.lit(1)) - 1).alias("other_candidates"),
-    )
-    joined = signals.select(*REQUEST).join(best, list(REQUEST), "left")
-    return joined.select(
+    ranked = F.struct(
+        D.tier_rank(F.col("tier")).alias("rank"),
+        "combined",
+        F.col("_newest.age").alias("age"),
+        F.col("_newest.id").alias("handoff_id"),
+        "tier",
+    )
+    best = (
+        scored_sizes(signals, handoffs, n)
+        .groupBy(*TITLE, "_paragraphs", "_words")
+        .agg(F.min(ranked).alias("_best"), (F.sum("_n") - 1).alias("_others"))
+    )
+    answers = _answered(signals, best, "left").select(
+        *REQUEST, "_best.handoff_id", "_best.tier", "_best.combined", "_others"
+    )
+    shown = handoffs.select(
+        "firm_id",
+        F.col("id").alias("handoff_id"),
+        "doc_title",
+        "summary",
+        "last_active",
+        "turn_count",
+        F.col("paragraph_count").alias("paragraph_count_then"),
+        F.col("word_count").alias("word_count_then"),
+    )
+    return answers.join(shown, ["firm_id", "handoff_id"], "left").select(
         "request_id",
         "firm_id",
-        F.col("_best").isNotNull().alias("found"),
-        "_best.*",
-        F.coalesce("other_candidates", F.lit(0)).alias("other_candidates"),
+        F.col("handoff_id").isNotNull().alias("found"),
+        "handoff_id",
+        "tier",
+        "combined",
+        "doc_title",
+        "summary",
+        "last_active",
+        "turn_count",
+        "paragraph_count_then",
+        "word_count_then",
+        F.coalesce("_others", F.lit(0)).alias("other_candidates"),
     )
 
 
-def update_targets(signals: DataFrame, handoffs: DataFrame) -> DataFrame:
+def update_targets(
+    signals: DataFrame, handoffs: DataFrame, n: int | None = None
+) -> DataFrame:
     """Per request the newest handoff that matches exactly or closely."""
-    near = scored_candidates(signals, handoffs).where(
-        F.col("tier").isin("exact", "close")
+    best = (
+        scored_sizes(signals, handoffs, n)
+        .where(F.col("tier").isin("exact", "close"))
+        .groupBy(*TITLE, "_paragraphs", "_words")
+        .agg(F.min(F.struct("_newest", "tier")).alias("_best"))
     )
-    newest = [F.col("last_active").desc(), F.col("handoff_id").asc()]
-    return top_per_group(near, REQUEST, newest, 1).select(
-        "request_id", "firm_id", "handoff_id", "tier"
+    return _answered(signals, best, "inner").select(
+        *REQUEST, F.col("_best._newest.id").alias("handoff_id"), "_best.tier"
     )
 
 

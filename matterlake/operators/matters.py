@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matterlake import schemas as S
 from matterlake.functions import coerce as C
 from matterlake.plans.skew import top_per_group
 
@@ -93,19 +92,22 @@ def list_matters(
     client_id: str | None = None,
     stage: str | None = None,
     counterparty: str | None = None,
-    n: int = S.DIRECTORY_ROWS,
+    n: int | None = None,
 ) -> DataFrame:
-    """Per firm the newest ``n`` matters, then only those with the counterparty.
+    """The matters of each firm, filtered by the arguments that are given.
 
-    The counterparty test comes after the limit. An argument left out filters nothing.
+    With ``n`` (``DIRECTORY_ROWS`` for one page) only the newest ``n`` of a firm
+    are taken, and the counterparty test comes after that limit.
     """
     chosen = matters
     if client_id is not None:
         chosen = chosen.where(F.col("client_id") == client_id)
     if stage is not None:
         chosen = chosen.where(F.col("stage") == stage)
-    newest = [F.col("created_at").desc_nulls_first(), F.col("id").asc()]
-    listed = matter_view(top_per_group(chosen, ["firm_id"], newest, n))
+    if n is not None:
+        newest = [F.col("created_at").desc_nulls_first(), F.col("id").asc()]
+        chosen = top_per_group(chosen, ["firm_id"], newest, n)
+    listed = matter_view(chosen)
     if counterparty is not None:
         listed = listed.where(C.involves(F.col("parties"), F.lit(counterparty)))
     return directory_summary(listed)

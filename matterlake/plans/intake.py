@@ -250,13 +250,17 @@ def preview_positions(
     matters: DataFrame,
     extract_fn: ExtractFn | None = None,
     rules: Mapping[str, str] | None = None,
+    min_chars: int = 0,
 ) -> DataFrame:
     """Positions of drafts, nothing stored.
 
-    Drafts: (request_id, firm_id, document_text, matter_id or null).  Texts
-    under 50 characters are rejected input and give no row.
+    Drafts: (request_id, firm_id, document_text, matter_id or null).  With
+    ``min_chars``, texts that are shorter without the blanks around them are
+    left out, as intake skips them.
     """
-    fit = drafts.where(F.length("document_text") >= S.MIN_CONTENT_CHARS)
+    fit = drafts
+    if min_chars:
+        fit = drafts.where(F.length(X.trim_blanks(F.col("document_text"))) >= min_chars)
     named = with_extraction_context(
         fit.withColumnRenamed("document_text", "content").withColumn(
             "doc_type", F.lit(None).cast("string")

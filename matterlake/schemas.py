@@ -257,11 +257,7 @@ HINT_CHARS = 80
 EMBED_BATCH = 100
 EMBED_ATTEMPTS = 3
 SEARCH_DEFAULT_K = 8
-SEARCH_MAX_K = 20
-DIFF_MAX_WORDS = 2000
 DIRECTORY_ROWS = 50
-HANDOFF_CANDIDATES = 20
 NAME_HITS = 5
 ALTERNATIVES = 3
-BROWSE_ROWS = 100
 CODE_LIFE_SECONDS = 300

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matterlake import schemas as S
+from matterlake.plans.skew import top_per_group
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -28,10 +29,10 @@ def scan(table: DataFrame, firm_ids: str | Iterable[str] | DataFrame) -> DataFra
     return table.where(F.col("firm_id").isin(*firm_ids))
 
 
-def active_matters(matters: DataFrame, n: int = S.BROWSE_ROWS) -> DataFrame:
-    """The ``n`` most recently opened matters that are not archived."""
-    return (
-        matters.where(~F.col("archived"))
-        .orderBy(F.col("last_accessed").desc_nulls_last(), F.col("id"))
-        .limit(n)
-    )
+def active_matters(matters: DataFrame, n: int | None = None) -> DataFrame:
+    """Matters that are not archived; with ``n`` the last opened ``n`` of a firm."""
+    active = matters.where(~F.col("archived"))
+    if n is None:
+        return active
+    newest = [F.col("last_accessed").desc_nulls_last(), F.col("id").asc()]
+    return top_per_group(active, ["firm_id"], newest, n).drop("rank")

@@ -4,11 +4,13 @@ State and checkpoints live in the shared folder.  Sinks are file tables; no
 result passes through the driver.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matterlake.operators import access as A
 from matterlake.operators.handoffs import upsert_handoffs
@@ -195,20 +197,33 @@ def valid_session_stream(sessions: DataFrame, firm_users: DataFrame) -> DataFram
     return A.valid_sessions(sessions, firm_users)
 
 
-def first_redemption_stream(
-    attempts: DataFrame, codes: DataFrame, life: str = "5 minutes"
-) -> DataFrame:
-    """The first timely attempt per code that arrives.
-
-    ``life`` is how long a code lives (five minutes as issued): a watermark of
-    that length keeps every repeat out and bounds the state.
+def _first_of_code(
+    key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """The earliest row of a code that was not redeemed in an earlier batch."""
+    if state.exists:
+        return
+    first = None
+    for part in parts:
+        own = part.sort_values(["attempted_at", "attempt_id"]).head(1)
+        first = own if first is None else pd.concat([first, own])
+    if first is not None:
+        state.update((True,))
+        yield first.sort_values(["attempted_at", "attempt_id"]).head(1)
+
+
+def first_redemption_stream(attempts: DataFrame, codes: DataFrame) -> DataFrame:
+    """The redeeming attempt per code: the first timely one to arrive.
+
+    Within a micro-batch the earliest by ``attempted_at`` and ``attempt_id``
+    counts.  An attempt is timely by its own time, however late its row comes,
+    so nothing is dropped by a watermark.  The state is one flag per redeemed
+    code, no more than the table of codes holds.
     """
     usable = codes.where(F.col("redeemed_at").isNull()).select("code", "expires_at")
     timely = attempts.join(usable, "code").where(
         F.col("expires_at") > F.col("attempted_at")
     )
-    return (
-        timely.withColumn("attempted_at", F.col("attempted_at").cast("timestamp"))
-        .withWatermark("attempted_at", life)
-        .dropDuplicatesWithinWatermark(["code"])
+    return timely.groupBy("code").applyInPandasWithState(
+        _first_of_code, timely.schema, "redeemed boolean", "append", GroupStateTimeout.NoTimeout
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from matterlake import schemas as S
 from matterlake.functions import coerce as C
 from matterlake.functions import temporal as M
 from matterlake.operators import access as A
@@ -85,11 +86,7 @@ def normalised_parties(s):
 
 
 _LISTED = f"""{_VIEW},
-ranked AS (
-  SELECT v.*, row_number() OVER (PARTITION BY firm_id
-      ORDER BY created_at DESC NULLS FIRST, id) AS rank
-  FROM view_ v),
-listed AS (SELECT * FROM ranked WHERE rank <= 50)
+listed AS (SELECT * FROM view_)
 """
 _DIRECTORY = """firm_id, id, matter_name, client_id, client_name, matter_type, stage,
     opened_at, array_to_string(others, ',') AS counterparties,
@@ -123,16 +120,27 @@ def matter_directory_of_party(s):
     "matter_directory_filtered",
     f"""WITH {_VIEW},
     chosen AS (SELECT v.* FROM view_ v JOIN matters m ON m.id = v.id
-               WHERE m.client_id = 'c3' AND m.stage = 'settled'),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY firm_id
-        ORDER BY created_at DESC NULLS FIRST, id) AS rank FROM chosen)
-    SELECT {_DIRECTORY} FROM ranked WHERE rank <= 50""",
+               WHERE m.client_id = 'c3' AND m.stage = 'settled')
+    SELECT {_DIRECTORY} FROM chosen""",
     "matters",
 )
 def matter_directory_filtered(s):
     return _directory(MT.list_matters(s.matters, client_id="c3", stage="settled"))
 
 
+@query(
+    "matter_directory_page",
+    f"""WITH {_VIEW},
+    ranked AS (SELECT v.*, row_number() OVER (PARTITION BY firm_id
+        ORDER BY created_at DESC NULLS FIRST, id) AS rank FROM view_ v)
+    SELECT {_DIRECTORY} FROM ranked WHERE rank <= 50""",
+    "matters",
+)
+def matter_directory_page(s):
+    """The page of newest matters, asked for as such."""
+    return _directory(MT.list_matters(s.matters, n=S.DIRECTORY_ROWS))
+
+
 @query(
     "matter_directory_counts",
     f"WITH {_LISTED} SELECT firm_id, count(*) AS count FROM listed GROUP BY firm_id",
@@ -180,8 +188,7 @@ def matters_for_requests(s):
     "active_matters",
     """SELECT id, matter_name, client_name, last_accessed,
               coalesce(strftime(last_accessed, '%b %-d, %Y'), '—') AS shown
-       FROM matters WHERE NOT archived
-       ORDER BY last_accessed DESC NULLS LAST, id LIMIT 100""",
+       FROM matters WHERE NOT archived""",
     "matters",
 )
 def active_matters(s):

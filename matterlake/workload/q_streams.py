@@ -93,15 +93,12 @@ def stream_sessions(s):
 
 @query(
     "stream_redemptions",
-    f"""WITH {CODE_SQL} SELECT DISTINCT code FROM first_""",
+    f"""WITH {CODE_SQL} SELECT code, attempt_id FROM first_ WHERE n = 1""",
 )
 def stream_redemptions(s):
     attempts = attempts_of(_stream(s, "events"))
-    # The stand-in codes live nine days.
-    first = J.first_redemption_stream(
-        attempts, codes_of(s.base("events")), life="9 days"
-    )
-    return _drained(s, first.select("code"), "redemptions")
+    first = J.first_redemption_stream(attempts, codes_of(s.base("events")))
+    return _drained(s, first.select("code", "attempt_id"), "redemptions")
 
 
 @query(

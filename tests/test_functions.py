@@ -109,9 +109,10 @@ def test_haystack_and_context(spark):
     names = "m string, c string, s string, k string, t string"
     cols = [F.col(c) for c in "mcskt"]
     plain, full = values(spark, rows, names, X.context_block(*cols))
-    assert plain == "Document to extract positions from:\n\nT"
-    assert full.startswith("Context:\nMatter: m\nClient: c\nWe represent: c\n")
-    assert full.endswith("Document type: nda\n\n---\n\n" + plain)
+    assert plain == "T"
+    assert full == "matter = m\nclient = c\nside = c\nkind = nda\n\nT"
+    own = X.context_block(*cols, labels=("A", "B", "C", "D"))
+    assert values(spark, rows, names, own)[1] == "A = m\nB = c\nC = c\nD = nda\n\nT"
 
 
 TIERS = [

@@ -17,8 +17,8 @@ JOINS = (
     "supersede_hot_keys vector_topk_blocks"
 ).split()
 LIMITED = (
-    "latest_positions matter_directory resolve_by_document_name first_redemptions "
-    "oldest_pending newest_orders_null_first handoff_update_targets"
+    "latest_positions matter_directory_page resolve_by_document_name first_redemptions "
+    "oldest_pending newest_orders_null_first"
 ).split()
 
 

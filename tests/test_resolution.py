@@ -243,12 +243,15 @@ def test_match_and_update(spark):
     assert after["h1"]["summary"] == "sh1" and after["h4"]["firm_id"] == "g"
 
 
-def test_only_the_newest_candidates_count(spark):
+def test_an_old_exact_handoff_is_found(spark):
     rows = [(f"h{i:02d}", "f", "A.docx", 10 + (i > 0), 1000, 100 - i) for i in range(30)]
     rows[25] = ("h25", "f", "A.docx", 99, 1000, 75)
     asked = spark.createDataFrame([("r", "f", "A.docx", 99, 1000)], SIGNALS)
     got = H.match_handoffs(asked, handoff(spark, rows)).first()
-    # h25 fits exactly but is not among the newest twenty.
+    assert (got["tier"], got["handoff_id"]) == ("exact", "h25")
+    assert got["other_candidates"] == 29
+    # Among the newest twenty, where somebody asks for that, none fits exactly.
+    got = H.match_handoffs(asked, handoff(spark, rows), n=20).first()
     assert got["tier"] == "loose" and got["other_candidates"] == 19
 
 

@@ -112,4 +112,24 @@ def test_redemption_and_session_streams(spark):
     )
     out = scratch_path(spark, "first")
     J.drain_to_table(J.first_redemption_stream(stream, codes).select("code", "attempt_id"), out)
-    assert [r["code"] for r in spark.read.parquet(out).collect()] == ["k1"]
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("k1", 1)]
+
+
+def test_late_attempts_redeem_too(spark):
+    path = scratch_path(spark, "late")
+    parts = [[(1, "k1", 900)], [(2, "k9", 2000)], [(3, "k8", 5002)], [(5, "k2", 301), (4, "k2", 300)]]
+    for part in parts:
+        spark.createDataFrame(part, "attempt_id int, code string, s long").select(
+            "attempt_id", "code", F.timestamp_seconds("s").alias("attempted_at")
+        ).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = J.file_stream(spark, path, schema, files_per_trigger=1)
+    codes = spark.createDataFrame([(f"k{i}",) for i in range(10)], "code string").select(
+        "code",
+        F.timestamp_seconds(F.lit(9000)).alias("expires_at"),
+        F.lit(None).cast("timestamp").alias("redeemed_at"),
+    )
+    out = scratch_path(spark, "first")
+    J.drain_to_table(J.first_redemption_stream(stream, codes).select("code", "attempt_id"), out)
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    assert got == {("k1", 1), ("k9", 2), ("k8", 3), ("k2", 4)}
