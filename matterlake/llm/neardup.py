@@ -21,10 +21,16 @@ the connected components of the links.
    its first common band, first by signature, then exactly.  A bucket of more
    than ``BLOCK`` members is cut into blocks that meet two by two.
 
+A signature also carries the set's size and, for each of ``CELLS`` hash cells, the
+parity of the elements there.  Each cell whose parities differ holds an element
+of one set only, so their number bounds the difference of two sets from below:
+pairs that are too far apart by this bound go without a look at their texts, and
+no pair that is similar enough goes.
+
 No step gathers a bucket, a component or the links in one task.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -54,6 +60,8 @@ COORDINATES = ROWS * BANDS
 # with a probability below one in a million.
 LEAST_AGREEING = int(COORDINATES * LEAST - 5 * (COORDINATES * LEAST * (1 - LEAST)) ** 0.5)
 BLOCK = 256
+CELLS = 2048
+_PARITY_END = COORDINATES + CELLS // 8
 
 _UNIT = 1.0 / float(1 << 53)
 
@@ -129,6 +137,16 @@ def _sets(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct(h, row)
 
 
+def parities(elements: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """n x CELLS/8 bytes: whether a cell holds an odd number of elements."""
+    cell = (mix(elements ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(CELLS)).astype(np.int64)
+    out = np.zeros(n * (CELLS // 8), np.uint8)
+    np.bitwise_xor.at(
+        out, row * (CELLS // 8) + (cell >> 3), (1 << (cell & 7)).astype(np.uint8)
+    )
+    return out.reshape(n, -1)
+
+
 _SIGNED = "doc_id long, text_key binary, set_key binary, n int, bands array<long>, signature binary"
 
 
@@ -169,7 +187,10 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
                 band = mix(band + got.reshape(texts.n, BANDS, ROWS)[:, :, j])
             band = mix(band + np.arange(BANDS, dtype=np.uint64))
             bands.append(band)
-            signs += [s.tobytes() for s in (mix(got) >> np.uint64(56)).astype(np.uint8)]
+            kept = (mix(got) >> np.uint64(56)).astype(np.uint8)
+            size = n.astype("<i8").reshape(-1, 1).view(np.uint8)
+            parts = np.concatenate((kept, parities(h, row, texts.n), size), axis=1)
+            signs += [s.tobytes() for s in parts]
         n = np.concatenate(sizes)
         held = np.concatenate(bands).view(np.int64)[n > 0].reshape(-1)
         offsets = np.concatenate(([0], np.cumsum((n > 0) * BANDS)))
@@ -188,21 +209,31 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
     return map_batches(slim, run, _SIGNED)
 
 
-def agreeing(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """On how many coordinates two columns of signatures agree."""
+def opened(column: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures as kept darts, parities and sizes, one row each."""
+    table = np.frombuffer(b"".join(column), np.uint8).reshape(-1, _PARITY_END + 8)
+    sizes = table[:, _PARITY_END:].copy().view("<i8")[:, 0]
+    return table[:, :COORDINATES], table[:, COORDINATES:_PARITY_END], sizes
+
 
-    def table(c):
-        return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+def may_be_near(left: tuple, right: tuple) -> np.ndarray:
+    """Whether the signatures of each pair allow the similarity.
 
-    return (table(a) == table(b)).sum(axis=1)
+    Sets of sizes a and b are similar enough when at most
+    (1 - LEAST) / (1 + LEAST) * (a + b) elements are in one of them only.
+    """
+    agree = (left[0] == right[0]).sum(axis=1) >= LEAST_AGREEING
+    apart = np.bitwise_count(left[1] ^ right[1]).sum(axis=1, dtype=np.int64)
+    apart = np.maximum(apart, np.abs(left[2] - right[2]))
+    return agree & (apart <= (1 - LEAST) / (1 + LEAST) * (left[2] + right[2]) + 1e-6)
 
 
 def _plausible(pairs: DataFrame) -> DataFrame:
     """Pairs (x, y, sx, sy) whose signatures allow the similarity."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = pa.array(agreeing(batch.column(2), batch.column(3)) >= LEAST_AGREEING)
-        return batch.select([0, 1]).filter(kept)
+        left, right = (opened(batch.column(c).to_pylist()) for c in (2, 3))
+        return batch.select([0, 1]).filter(pa.array(may_be_near(left, right)))
 
     return map_batches(pairs.select("x", "y", "sx", "sy"), run, "x binary, y binary")
 
@@ -384,13 +415,13 @@ def _block_pairs(large: DataFrame) -> DataFrame:
     )
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sign = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(-1, COORDINATES)
+        signs = opened(group["signature"])
         bands = np.array(group["bands"].tolist())
         keys, labels = group["set_key"].to_numpy(), group["label"].to_numpy()
         band = int(np.flatnonzero((bands == group["bucket"].iloc[0]).all(axis=0))[0])
         xs, ys = [], []
         for i in range(len(group)):
-            near = (sign[i] == sign).sum(axis=1) >= LEAST_AGREEING
+            near = may_be_near(tuple(part[i : i + 1] for part in signs), signs)
             if band:
                 near &= ~(bands[i, :band] == bands[:, :band]).any(axis=1)
             for j in np.flatnonzero(near):

@@ -353,6 +353,30 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert abs(np.mean(got)) < 0.03
 
 
+def test_parities_never_drop_a_near_pair():
+    rng = np.random.default_rng(1)
+    for size in (1, 9, 200, 6000):
+        base = np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64))
+        for share in (0.0, 0.05, 0.1, 0.11, 0.3):
+            keep = base[rng.random(len(base)) >= share]
+            other = np.union1d(keep, rng.integers(1, 1 << 62, int(size * share)).astype(np.uint64))
+            if not len(other):
+                continue
+            both = np.concatenate((base, other))
+            row = np.repeat([0, 1], [len(base), len(other)])
+            bits = neardup.parities(both, row, 2)
+            apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            assert apart <= len(np.setxor1d(base, other))
+            same = np.zeros((1, neardup.COORDINATES), np.uint8)
+            may = neardup.may_be_near(
+                (same, bits[:1], np.array([len(base)])), (same, bits[1:], np.array([len(other)]))
+            )[0]
+            near = len(np.intersect1d(base, other)) >= 0.8 * len(np.union1d(base, other))
+            assert may or not near
+            if size == 200 and share == 0.3:
+                assert not may
+
+
 def brute_classes(data):
     def elements(t):
         w = [x for x in re.split(r"[ \t-\r]+", (t or "").lower()) if x]
