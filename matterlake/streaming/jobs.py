@@ -5,6 +5,7 @@ result passes through the driver.
 """
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,12 @@ def audit_stream(
     )
 
 
+def _same_key(keys: tuple[str, ...]) -> Column:
+    """Equality of the keys of ``old`` and ``new``, nulls being equal."""
+    pairs = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
+    return reduce(Column.__and__, pairs)
+
+
 def supersession_stream(
     positions: DataFrame,
     links_path: str,
@@ -120,6 +127,7 @@ def supersession_stream(
     Inside a micro-batch the batch operator links the rows of a key, so a key
     with most of the rows is sliced over many tasks.  The first new row of a
     key supersedes its row in the state table; the last one takes its place.
+    Null key columns are equal, as in the batch form.
     Both tables are written per batch from the version before: a repeated
     batch gives the same files.
     """
@@ -145,9 +153,17 @@ def supersession_stream(
         inner = linked.where(F.col("next_id").isNotNull()).select(
             *keys, "id", F.col("next_id").alias("superseded_by")
         )
-        links = inner.unionByName(before.join(first, list(keys)))
+        links = inner.unionByName(
+            before.alias("old")
+            .join(first.alias("new"), _same_key(keys))
+            .select(*[F.col(f"old.{k}").alias(k) for k in keys], "old.id", "superseded_by")
+        )
         links.write.mode("overwrite").parquet(f"{links_path}/batch={batch_id}")
-        state = before.join(last, list(keys), "left_anti").unionByName(last)
+        state = (
+            before.alias("old")
+            .join(last.alias("new"), _same_key(keys), "left_anti")
+            .unionByName(last)
+        )
         state.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
 
     drain_batches(positions, apply, checkpoint)
