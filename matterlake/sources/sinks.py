@@ -70,7 +70,11 @@ def ingest_documents(
 
 
 def audit_rows(actions: DataFrame, now: Column | None = None) -> DataFrame:
-    """Audit rows with every column present; ``action_date`` partitions them."""
+    """Audit rows with every column present; ``action_date`` partitions them.
+
+    An id is derived from what the action carries, never from the clock, so a
+    retry without ``occurred_at`` gives the same id.
+    """
     now = F.current_timestamp() if now is None else now
     have = set(actions.columns)
     optional = [
@@ -84,11 +88,10 @@ def audit_rows(actions: DataFrame, now: Column | None = None) -> DataFrame:
         *given, "firm_id", "action", "result", when.alias("occurred_at"), *optional
     )
     if not given:
+        happened = F.col("occurred_at") if "occurred_at" in have else F.lit(None)
         rows = rows.withColumn(
             "id",
-            derived_id(
-                "firm_id", "user_id", "action", "request_id", "occurred_at", "payload"
-            ),
+            derived_id("firm_id", "user_id", "action", "request_id", happened, "payload"),
         )
     return rows.withColumn("action_date", F.to_date("occurred_at"))
 
@@ -154,7 +157,11 @@ def note_rows(
 def request_extraction(
     docs: DataFrame, trigger: str, now: Column | None = None
 ) -> DataFrame:
-    """One pending ledger row per document."""
+    """One pending ledger row per document.
+
+    A ``request_id`` column, where given, makes the id the same on a retry and
+    tells two requests for one document apart; otherwise ``now`` does.
+    """
     if trigger not in S.JOB_TRIGGERS:
         raise ValueError(f"unknown trigger: {trigger}")
     now = F.current_timestamp() if now is None else now
@@ -163,8 +170,9 @@ def request_extraction(
         if "triggered_by_user" in docs.columns
         else F.lit(None).cast("string")
     )
+    asked = F.col("request_id") if "request_id" in docs.columns else now
     return docs.select(
-        derived_id("firm_id", "document_id", F.lit(trigger), now).alias("id"),
+        derived_id("firm_id", "document_id", F.lit(trigger), asked).alias("id"),
         "firm_id",
         "document_id",
         "matter_id",

@@ -297,3 +297,20 @@ def test_access(spark):
         "attempt_id int, code string, attempted_at timestamp",
     )
     assert rows(A.first_redemptions(tries, codes), "code", "attempt_id") == [("k1", 2)]
+
+
+def test_ids_are_the_same_on_a_retry(spark):
+    actions = spark.createDataFrame(
+        [("f", "read", "ok", "r1"), ("f", "read", "ok", "r2")],
+        "firm_id string, action string, result string, request_id string",
+    )
+    docs = spark.createDataFrame(
+        [("f", "d", "m", "r1"), ("f", "d", "m", "r2")],
+        "firm_id string, document_id string, matter_id string, request_id string",
+    )
+    for make in (
+        lambda: sinks.audit_rows(actions),
+        lambda: sinks.request_extraction(docs, "document_upload"),
+    ):
+        first, again = ({r["id"] for r in make().collect()} for _ in range(2))
+        assert first == again and len(first) == 2
