@@ -444,3 +444,35 @@ def test_license_scan(spark, edge, none):
         assert scanner.classify(other) is None
     assert licenses.scan(edge, scanner).count() == len(EDGE)
     assert licenses.scan(none, scanner).count() == 0
+
+
+def test_license_scan_wrapped_and_dual():
+    scanner = licenses.train()
+
+    def found(text):
+        return [(x[1], x[4], text[x[2] : x[3]]) for x in scanner.paragraphs(Texts(pa.array(["x", text, "y"]))) if x[0] == 1]
+
+    gpl = (
+        " * This program is free software: you can redistribute it and/or modify\n"
+        " * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or"
+    )
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without\n"
+        "modification, are permitted provided that the following conditions are\nmet:"
+    )
+    assert found("A tool.\n" + gpl + "\n\nMore.\n" + bsd) == [(1, "gpl", gpl), (6, "bsd", bsd)]
+    for own, other in (("lgpl", "Lesser "), ("agpl-3.0", "Affero ")):
+        assert [x[1] for x in found(gpl.replace("General", other + "General"))] == [own]
+    assert [x[1] for x in found("under a Creative Commons Attribution-\nShareAlike 4.0 International License")] == ["cc-by-sa"]
+    for dual in ("the MIT License or the Apache License, Version 2.0", "the MIT\nLicense or the Apache License,\nVersion 2.0"):
+        assert {x[1] for x in found("Licensed under " + dual)} == {"mit", "apache-2.0"}
+    # A line without words parts paragraphs; repeated notices stay single lines.
+    assert found("Released under the\n\nMIT License") == []
+    assert [x[0] for x in found("Released under the MIT License\n" * 3)] == [0, 1, 2]
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for width in (1, 4):
+                words = notice.split()
+                text = "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+                assert [x[1] for x in found(text)] == [family]
