@@ -8,7 +8,8 @@ words.  Blocks that this leaves open (short, or of few stop words) inherit in
 pass two from the nearest decided blocks before and after them in the same part
 of the page.
 
-Markup is read leniently: unclosed, crossing and cut-off tags are usual.
+Markup is read leniently: unclosed, crossing and cut-off tags are usual.  What
+a page may have in its ``head`` is no text anywhere, so the head needs no end.
 """
 
 import html
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from matterlake.llm.blocks import map_batches, small_batches
 
 # Element names (fixed values).
-RAW = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|title|head"
+RAW = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|title"
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li "
@@ -33,6 +34,9 @@ CONTAINERS = frozenset(
 )
 OUT_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+# Their attributes tell of the page, those of main and article often its layout.
+PAGE_TAGS = frozenset("html head body".split())
+TEXT_TAGS = frozenset("main article".split())
 # Words of class, id and role that name a part beside the text (fixed values).
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
@@ -75,13 +79,13 @@ _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _names_other_part(attributes: str) -> bool:
+def _names_other_part(attributes: str, named: tuple[str, ...] = ("class", "id", "role")) -> bool:
     if not attributes:
         return False
     if "=" in attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id", "role"):
+            if name in named:
                 if OUT_WORDS.intersection(_PART.findall(value)):
                     return True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -136,7 +140,13 @@ def blocks(page: str) -> tuple[list[_Block], bool]:
             continue
         if tag in CONTAINERS or tag not in BLOCK_TAGS:
             attributes = m.group(4)
-            other = not closing and _names_other_part(attributes)
+            if closing or tag in PAGE_TAGS:
+                other = False
+            elif (tag in TEXT_TAGS or 'role="main"' in attributes) and not any(s[0] == "article" for s in stack):
+                other = _names_other_part(attributes, ("role",))
+            else:
+                # An article inside an article is usually a comment.
+                other = _names_other_part(attributes)
             if tag in CONTAINERS or other:
                 if closing:
                     if any(s[0] == tag for s in stack):

@@ -84,6 +84,23 @@ def test_main_text():
     assert htmltext.main_text("<div>" * 5000 + "<" * 50) == "<" * 50
 
 
+def test_main_text_of_whole_pages():
+    text = "It was the best of times and it was the worst of times for all of the people in the city."
+    for page in (
+        f'<html><body class="no-sidebar"><p>{text}',
+        f'<html class="has-sidebar"><body class="search-results"><main id="search"><p>{text}</main>',
+        f'<body class="no-sidebar"><nav>The menu</nav><article class="post related"><p>{text}'
+        f'<article class="comment"><p>{text}</article></article>',
+        f'<div role="main" class="with-sidebar"><p>{text}</div>',
+        f"<head><title>t</title><meta name=a><script>'<p>{text}'</script><p>{text}",
+        f"<head><title>t</title><link rel=a><body><p>{text}",
+        f"<head class=nav><style>p</style>{text}",
+    ):
+        assert htmltext.main_text(page) == text
+    for page in (f"<article hidden><p>{text}</article>", f"<div class=sidebar><p>{text}</div>"):
+        assert htmltext.main_text(page) == ""
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame(
         [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (None, None, None, None)],
