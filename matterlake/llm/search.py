@@ -77,7 +77,8 @@ def _shard_row(ids: np.ndarray, rows: list) -> dict:
         "terms": term[at].tobytes(),
         "bounds": np.append(at, len(term)).astype(np.int32).tobytes(),
         "posted": row.astype(np.uint16).tobytes(),
-        "times": np.minimum(times, 65535).astype(np.uint16).tobytes(),
+        # Two bytes each, four in a shard with a longer count.
+        "times": times.astype(np.uint16 if times.max(initial=0) < 1 << 16 else np.uint32).tobytes(),
     }
 
 
@@ -140,7 +141,8 @@ class Shard:
         self.terms = read("terms", np.uint64)
         self.bounds = read("bounds", np.int32).astype(np.int64)
         self.posted = read("posted", np.uint16).astype(np.int32)
-        times = read("times", np.uint16).astype(np.float64)
+        wide = len(row["times"]) > len(row["posted"])
+        times = read("times", np.uint32 if wide else np.uint16).astype(np.float64)
         norm = K1 * (1 - B + B * read("lengths", np.int32) / max(mean_length, 1e-9))
         # The part of a term's score that does not depend on the query.
         self.gain = times * (K1 + 1) / (times + norm[self.posted])

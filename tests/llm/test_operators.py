@@ -190,6 +190,20 @@ def test_topk_by_brute_force(spark, edge, none):
     assert search.search(index, none, 3).count() == 0
 
 
+def test_topk_counts_of_long_documents(spark):
+    data = [(1, "w " * 200_000), (2, "w " * 65_536), (3, "w " * 65_535)]
+    data += [(i, "x y") for i in range(4, 1000)]
+    index = search.build_index(spark.createDataFrame(data, "doc_id long, text string"))
+    asked = spark.createDataFrame([(7, "w")], "doc_id long, text string")
+    mean = sum(len(t.split()) for _, t in data) / len(data)
+    want = {}
+    for d, t in data[:3]:
+        n = t.count("w")
+        want[d] = math.log(1 + (len(data) - 2.5) / 3.5) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * n / mean))
+    got = {r.doc_id: r.score for r in search.search(index, asked, 5).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
 # -- 4, 6 ---------------------------------------------------------------------
 
 
