@@ -269,6 +269,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _query_bags(queries: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The distinct bags of each query: rows of one id are parts of one query."""
     slim = queries.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("query_id"),
         F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"),
@@ -290,7 +291,7 @@ def _query_bags(queries: DataFrame, id_col: str, text: str) -> DataFrame:
         )
 
     return written(
-        map_batches(slim, run, "query_id long, n_terms long, terms binary"),
+        map_batches(slim, run, "query_id long, n_terms long, terms binary").distinct(),
         "queries",
     )
 
@@ -337,7 +338,8 @@ def search(
     """(query_id, rank, doc_id, score): the best ``k`` documents of each query.
 
     Documents with no term of the query are no hits; a query without terms has
-    none.  Rows with a null id are no queries.  Queries are taken in blocks of
+    none.  Rows with a null id are no queries; rows of one id are one query, of
+    the terms of all.  Queries are taken in blocks of
     about ``block_terms`` terms; each block visits the index once, and a task
     sends at most ``k`` rows per query.
     """
@@ -365,14 +367,26 @@ def search(
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
+def _whole_queries(own: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct ids, and the terms of all rows of each."""
+    rows = own["query_id"].to_numpy()
+    parts = [np.frombuffer(t.as_buffer(), np.uint64) for t in own["terms"]]
+    order = np.argsort(rows, kind="stable")
+    ids, first = np.unique(rows[order], return_index=True)
+    terms = []
+    for some in np.split(order, first[1:]):
+        one = [parts[i] for i in some]
+        terms.append(one[0] if len(one) == 1 else np.unique(np.concatenate(one)))
+    return ids, terms
+
+
 def _search_block(index, own: pa.Table, k, n_docs, mean_length, schema) -> DataFrame:
-    terms = [np.frombuffer(t.as_buffer(), np.uint64) for t in own["terms"]]
+    ids, terms = _whole_queries(own)
     asked = np.unique(np.concatenate(terms))
     df = _document_frequencies(index, asked)
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     place = [np.searchsorted(asked, t) for t in terms]
     weights = [idf[p] for p in place]
-    ids = own["query_id"].to_numpy()
     numbered = index.withColumn("shard", F.monotonically_increasing_id())
     first = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0
 

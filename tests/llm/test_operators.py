@@ -204,6 +204,22 @@ def test_topk_counts_of_long_documents(spark):
     assert got == pytest.approx(want, abs=2e-6)
 
 
+def test_topk_of_repeated_queries(spark):
+    rng = random.Random(8)
+    data = [(i, " ".join(rng.choices([f"w{j}" for j in range(40)], k=12))) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    index = search.build_index(docs)
+
+    def hits(*asked):
+        queries = spark.createDataFrame(asked, "doc_id long, text string").repartition(3)
+        return sorted(map(tuple, search.search(index, queries, 7).collect()))
+
+    want = hits((1, "w1 w2 w3"), (2, "w4 w5 w6"))
+    assert len({(q, d) for q, _, d, _ in want}) == 14
+    got = hits((1, "w1 w2 w3"), (1, "w1 w2 w3"), (1, "w3 w1 w2 w1"), (2, "w4 w5"), (2, "w6 w5"), (2, None))
+    assert got == want
+
+
 # -- 4, 6 ---------------------------------------------------------------------
 
 
