@@ -8,9 +8,8 @@ by half and cover the whole document.  Filters are max-pooled per chunk, a hidde
 layer reads the chunk, and the mean and maximum over all chunks give one
 probability.
 
-Fitting uses at most ``most`` labelled documents, and of a training document at
-most ``RUNS`` evenly spread runs of segments; scoring covers whole texts.  The
-empty text is one padded chunk.
+Fitting uses at most ``most`` labelled documents; fitting and scoring cover whole
+texts.  The empty text is one padded chunk.
 """
 
 from dataclasses import dataclass, fields
@@ -30,7 +29,6 @@ DEPTH = 8
 FILTERS = 24
 HIDDEN = 16
 LOOK_BACK = 12
-RUNS, RUN_SEGMENTS = 8, 16
 EPOCHS = 8
 BATCH = 48
 RATE = 0.004
@@ -192,6 +190,25 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _batch_gradient(net: Network, rows: list[tuple[bytes, bytes, float]]) -> list[np.ndarray]:
+    """The gradient over ``rows``, in parts of about ``BLOCK`` bytes."""
+    size = np.array([len(r[0]) for r in rows])
+    part = (np.cumsum(size) - size) // BLOCK
+    total: list[np.ndarray] = []
+    for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
+        some = [rows[i] for i in own]
+        found = net.gradient(
+            np.frombuffer(b"".join(r[0] for r in some), np.uint8),
+            np.frombuffer(b"".join(r[1] for r in some), np.uint8),
+            size[own] // SEGMENT,
+            np.array([r[2] for r in some], np.float32),
+        )
+        share = np.float32(len(some) / len(rows))
+        found = [g * share for g in found]
+        total = [x + g for x, g in zip(total, found)] if total else found
+    return total
+
+
 def train(rows: list[tuple[bytes, bytes, float]], seed: int = 7) -> Network:
     """``rows``: padded bytes, flags and label of each training document."""
     rng = np.random.default_rng(seed)
@@ -211,13 +228,9 @@ def train(rows: list[tuple[bytes, bytes, float]], seed: int = 7) -> Network:
         order = rng.permutation(len(rows))
         for a in range(0, len(rows), BATCH):
             some = [rows[i] for i in order[a : a + BATCH]]
-            data = np.frombuffer(b"".join(r[0] for r in some), np.uint8)
-            flags = np.frombuffer(b"".join(r[1] for r in some), np.uint8)
-            segments = np.array([len(r[0]) // SEGMENT for r in some])
-            label = np.array([r[2] for r in some], np.float32)
             t += 1
             rate = RATE * (1 - t / (total + 1))
-            for i, g in enumerate(net.gradient(data, flags, segments, label)):
+            for i, g in enumerate(_batch_gradient(net, some)):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 step = (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
@@ -232,7 +245,10 @@ def fit(
     label: str = "quality",
     most: int = MOST_LABELLED,
 ) -> Network:
-    """A network from at most ``most`` labelled documents ``may_learn`` admits."""
+    """A network from at most ``most`` labelled documents ``may_learn`` admits.
+
+    They are read whole, and the driver holds twice their bytes.
+    """
     small_batches(docs.sparkSession)
     rows = training_texts(docs, labels, label, may_learn, most)
 
@@ -243,12 +259,9 @@ def fit(
             d, f, segments = padded(Texts(column[a:b]))
             end = np.cumsum(segments)
             for lo, n in zip((end - segments).tolist(), segments.tolist()):
-                own = np.arange(n)
-                if n > RUNS * RUN_SEGMENTS:
-                    first = np.linspace(0, n - RUN_SEGMENTS, RUNS).astype(int)
-                    own = (first[:, None] + np.arange(RUN_SEGMENTS)).ravel()
-                data.append(d.reshape(-1, SEGMENT)[lo + own].tobytes())
-                flags.append(f.reshape(-1, SEGMENT)[lo + own].tobytes())
+                own = slice(lo * SEGMENT, (lo + n) * SEGMENT)
+                data.append(d[own].tobytes())
+                flags.append(f[own].tobytes())
         return pa.RecordBatch.from_arrays(
             [pa.array(data, pa.binary()), pa.array(flags, pa.binary()), batch.column(1)],
             names=["data", "flags", "label"],

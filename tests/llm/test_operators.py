@@ -283,6 +283,27 @@ def test_quality(spark, edge, none):
     assert quality.score(none, net).count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    long = "".join(f"word {i} " for i in range(20_000))
+    docs = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "train", lambda rows: rows)
+    got = {y: data.rstrip(b"\0") for data, _, y in quality.fit(docs, labels, F.lit(True))}
+    assert got == {1.0: long.encode(), 0.0: b"short"}
+
+
+def test_quality_gradient_in_parts(monkeypatch):
+    net = quality.Network.fresh(np.random.default_rng(1))
+    rows = []
+    for i, text in enumerate(random_texts(9)):
+        data, flags, _ = quality.padded(Texts(pa.array([text * 30])))
+        rows.append((data.tobytes(), flags.tobytes(), float(i % 2)))
+    whole = quality._batch_gradient(net, rows)
+    monkeypatch.setattr(quality, "BLOCK", 2_000)
+    for a, b in zip(whole, quality._batch_gradient(net, rows)):
+        assert np.allclose(a, b, atol=1e-5)
+
+
 def test_quality_does_not_depend_on_neighbours():
     net = quality.Network.fresh(np.random.default_rng(1))
     texts = random_texts(40) + ["x" * 248, "y" * 256, "long " * 500]
