@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from matterlake.llm import (
     bpe,
+    collocations,
     htmltext,
     licenses,
+    manifest,
     mixing,
     neardup,
+    packing,
     quality,
     search,
     simhash,
@@ -117,6 +120,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(_table(spark, sf_dir, "documents"), path)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -130,6 +146,9 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_near_duplicates,
         op10_license_scan,
+        op11_best_fit_packing,
+        op12_merkle_manifest,
+        op13_phrase_collocations,
     )
 }
 
@@ -144,7 +163,12 @@ def oracles() -> dict[str, str]:
     import corpus_pipeline
     from matterlake.llm import oracle
 
-    own = {"op3_topk_search": oracle.TOPK_SEARCH, "op7_source_mixing": oracle.SOURCE_MIXING}
+    own = {
+        "op3_topk_search": oracle.TOPK_SEARCH,
+        "op7_source_mixing": oracle.SOURCE_MIXING,
+        "op12_merkle_manifest": oracle.MERKLE_MANIFEST,
+        "op13_phrase_collocations": oracle.PHRASE_COLLOCATIONS,
+    }
     if corpus_pipeline.ORACLE_SQL is not None:
         own["pipeline"] = corpus_pipeline.ORACLE_SQL
     return own
