@@ -14,8 +14,8 @@ bins cost a share of its sequences that does not depend on the number of shards.
 
 The ids are those of the tokenizer library for the whole text.  Its rules for
 this file (see ``SEPARABLE``) never look across a blank, so ids are looked up
-per blank-separated word in a table of bounded size, and words not in the table
-go to the library.  Files with other rules are encoded whole.
+per run of letters in a table of bounded size, and what is not in the table goes
+to the library.  Files with other rules are encoded whole.
 
 Null texts count as empty and give the end mark alone; empty texts likewise.
 Texts of any length are read whole.  Repeated rows are packed as often as they
@@ -25,10 +25,12 @@ order of a row number that the written pieces carry.
 """
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -43,8 +45,10 @@ from matterlake.plans.storage import written
 CAPACITY = 2048
 BINS = 1024
 SHARD_TOKENS = 1 << 21
-# Words whose ids a worker process remembers.
+# Runs of letters whose ids a worker process remembers.
 REMEMBERED = 400_000
+# Runs that are looked up together.
+BLOCK_WORDS = 50_000
 
 # Rules of a tokenizer file under which ids never depend on what stands beyond
 # a blank (fixed values of the file format).
@@ -82,34 +86,99 @@ def _is_separable(path: str) -> bool:
     )
 
 
+# Letters whose class, case and normal form are the same in all versions of
+# Unicode: ASCII and Latin without the dotted capital I (its small form is two
+# letters).  A word of these and of ASCII marks and digits is cut here.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_BLANKS = "\t\n\x0b\x0c\r "
+_BLANK = re.compile(f"[{_BLANKS}]")
+# What no run of plain letters holds; it marks a word that is kept whole.
+_WHOLE = "\0"
+
+
 class Ids:
-    """Ids of texts as little-endian 32-bit bytes."""
+    """Ids of texts as little-endian 32-bit bytes.
+
+    Plain stretches of a text are cut into runs by the file's own pattern; runs
+    not seen before go to the library together, blanks between them, and come
+    back by their numbers.  Words with other letters, or with a special token,
+    go to the library one by one.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = Tokenizer.from_file(path)
         self.separable = _is_separable(path)
         self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.known: dict[str, bytes] = {}
+        if self.separable:
+            with open(path, encoding="utf-8") as f:
+                cut = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            # The classes that the pattern names, over plain letters.
+            self.cut = re.compile(cut.replace("\\p{L}", _LATIN).replace("\\p{N}", "0-9"))
+            special = self.library.get_added_tokens_decoder().values()
+            odd = [f"[^!-~{_LATIN}{_BLANKS}]", *[re.escape(t.content) for t in special]]
+            self.odd = re.compile("|".join(odd))
+
+    def _keys(self, text: str) -> list[str]:
+        """Runs and whole words of a text, in order."""
+        out: list[str] = []
+        at = 0
+        for found in self.odd.finditer(text):
+            if found.start() < at:
+                continue
+            start = max(at, 1 + max(text.rfind(b, at, found.start()) for b in _BLANKS))
+            blank = _BLANK.search(text, found.end())
+            end = blank.start() if blank else len(text)
+            out += self.cut.findall(text[at:start].lower())
+            out.append(_WHOLE + text[start:end])
+            at = end
+        return out + self.cut.findall(text[at:].lower())
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _together(self, runs: list[str]) -> Iterator[bytes]:
+        found = self.library.encode(" ".join(runs), add_special_tokens=False)
+        raw, of_run = array("I", found.ids).tobytes(), np.array(found.word_ids, np.int64)
+        ends = np.searchsorted(of_run, np.arange(len(runs)), side="right").tolist()
+        start = 0
+        for end in ends:
+            yield raw[4 * start : 4 * end]
+            start = end
+
+    def _learn(self, keys: list[str]) -> None:
+        runs = [k for k in keys if k[0] != _WHOLE]
+        whole = [k for k in keys if k[0] == _WHOLE]
+        self.known.update(zip(runs, self._together(runs), strict=True))
+        if whole:
+            self.known.update(zip(whole, self._each([k[1:] for k in whole]), strict=True))
+
+    def _block(self, texts: list[list[str]]) -> Iterator[bytes]:
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        known = self.known
+        new = [k for k in set().union(*texts) if k not in known]
+        if new:
+            self._learn(new)
+        for keys in texts:
+            yield b"".join(map(known.__getitem__, keys))
+
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         """One value per text, in order."""
         if not self.separable:
-            yield from self._encode([t or "" for t in texts])
+            yield from self._each([t or "" for t in texts])
             return
+        held: list[list[str]] = []
+        size = 0
         for text in texts:
-            words = (text or "").encode().split()
-            known = self.known
-            new = list({w for w in words if w not in known})
-            if new:
-                if len(known) > self.remembered:
-                    known.clear()
-                    new = list(set(words))
-                known.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
-            yield b"".join(map(known.__getitem__, words))
+            held.append(self._keys(text or ""))
+            size += len(held[-1])
+            if size > BLOCK_WORDS:
+                yield from self._block(held)
+                held, size = [], 0
+        if held:
+            yield from self._block(held)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
