@@ -110,6 +110,7 @@ def asserted_by(extracted_by: Column) -> Column:
     )
 
 
-def others_of(items: Column, chosen: Column, n: int = S.ALTERNATIVES) -> Column:
-    """The first ``n`` non-null items that are not the chosen one."""
-    return F.slice(F.filter(F.array_compact(items), lambda x: x != chosen), 1, n)
+def others_of(items: Column, chosen: Column, n: int | None = None) -> Column:
+    """The non-null items that are not the chosen one, or the first ``n`` of them."""
+    others = F.filter(F.array_compact(items), lambda x: x != chosen)
+    return others if n is None else F.slice(others, 1, n)

@@ -152,10 +152,10 @@ def update_targets(
     )
 
 
-def upsert_handoffs(
+def changed_handoffs(
     updates: DataFrame, handoffs: DataFrame, now: Column | None = None
 ) -> DataFrame:
-    """The handoff table after the updates.
+    """The rows that the updates write, in the columns of ``handoffs``.
 
     Updates: signals with (summary, turn_count, user_id).  An update goes to
     its target, or becomes a new row.  Two updates of one batch that hit the
@@ -181,15 +181,23 @@ def upsert_handoffs(
     )
     last = top_per_group(rows, ["firm_id", "id"], [F.col("request_id").desc()], 1)
     born = handoffs.select("firm_id", "id", F.col("created_at").alias("_born"))
-    written_rows = last.join(born, ["firm_id", "id"], "left").withColumn(
-        "created_at", F.coalesce("_born", "updated_at")
-    )
-    untouched = handoffs.join(last.select("firm_id", "id"), ["firm_id", "id"], "left_anti")
-    return untouched.select(*handoffs.columns).unionByName(
-        written_rows.select(*handoffs.columns)
+    return (
+        last.join(born, ["firm_id", "id"], "left")
+        .withColumn("created_at", F.coalesce("_born", "updated_at"))
+        .select(*handoffs.columns)
     )
 
 
+def upsert_handoffs(
+    updates: DataFrame, handoffs: DataFrame, now: Column | None = None
+) -> DataFrame:
+    """The handoff table after the updates (see ``changed_handoffs``)."""
+    changed = changed_handoffs(updates, handoffs, now)
+    keys = ["firm_id", "id"]
+    untouched = handoffs.join(changed.select(*keys), keys, "left_anti")
+    return untouched.select(*handoffs.columns).unionByName(changed)
+
+
 def report_empty_titles(df: DataFrame) -> DataFrame:
     """Per firm the titles whose key is empty: they all share one key."""
     return (

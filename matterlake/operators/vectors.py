@@ -1,37 +1,46 @@
 """Exact cosine top-k of query vectors in a tenant's memory.
 
 The comparison is brute force by definition, so the plan is a blocked matrix
-product: Arrow batches of memory rows against blocks of query vectors, and
-only the best ``k`` of a block leave the Python worker.
-
-* Up to ``SHIPPED_QUERIES`` queries (counted first) travel with the task, and
-  the memory is read once without any shuffle of vectors.
-* Above that, queries and memory are cut into blocks of bounded size and each
-  (query block, memory block) pair of a tenant is one co-grouped task unit.
-  A tenant of any size is spread over as many units as it has block pairs.
+product, and vectors are never shuffled:
+
+* A task scans its part of the memory once and carries, for each query, the
+  best ``k`` hits so far across all its Arrow batches.  Queries times ``k`` rows
+  leave a task, however many batches it reads.
+* A batch is bounded by its centroid and radius: a query whose best ``k`` are all
+  nearer than any row of the batch can be skips it.
+* Queries travel with the tasks in blocks whose rows and bytes are counted
+  first.  Blocks follow the firms, and a block reads its firms' memory only.
+* ``clustered`` stores a memory so that near vectors lie together, with one
+  (centroid, radius, rows) line per cell.  Given those lines, a search first
+  settles which cells can hold a hit, and only those files are read.
 """
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matterlake import schemas as S
 from matterlake.functions import scoring as D
 from matterlake.plans.skew import top_per_group
-from matterlake.plans.storage import written
+from matterlake.plans.storage import scratch_path, written
 
-SHIPPED_QUERIES = 2048
+# A block of queries is bounded by rows and by the bytes of its vectors.
+BLOCK_QUERIES = 2048
+BLOCK_BYTES = 64 << 20
 PUSHED_FIRMS = 500
-BLOCK_QUERIES = 4096
-BLOCK_ROWS = 8192
+# Rows of a firm compared at once, which bounds the distance table.
+BATCH_ROWS = 4096
 
 # Distances are rounded to this many digits, so that copies of a vector tie
 # whatever block they fall in.
 DIGITS = 12
+# What rounding and the bounds' own arithmetic may be off by.
+SLACK = 1e-9
 
 _HIT = "request_id string, firm_id string, id string, distance double"
 
@@ -63,39 +72,90 @@ def _distances(queries: list, vectors: list) -> np.ndarray:
     return out
 
 
-def _block_hits(queries: pd.DataFrame, memory: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k`` of ``memory`` for each row of ``queries`` (one firm)."""
-    table = _distances(list(queries["query"]), list(memory["embedding"]))
-    ids = memory["id"].to_numpy(dtype=object)
-    matters = memory["matter_id"].to_numpy(dtype=object)
-    requests, picked, values = [], [], []
-    for i, (request, wanted) in enumerate(zip(queries["request_id"], queries["wanted"])):
-        rows = np.arange(len(ids))
-        if isinstance(wanted, str):
-            rows = np.flatnonzero(matters == wanted)
-        d = table[i, rows]
-        if len(rows) > k:
-            edge = np.partition(d, k - 1)[k - 1]
-            near = np.flatnonzero(d <= edge)
-            near = near[np.lexsort((ids[rows[near]], d[near]))[:k]]
-            rows, d = rows[near], d[near]
-        requests.append(np.full(len(rows), request, dtype=object))
-        picked.append(ids[rows])
-        values.append(d)
-    firm = memory["firm_id"].iloc[0]
-    out = pd.DataFrame(
-        {
-            "request_id": np.concatenate(requests),
-            "firm_id": firm,
-            "id": np.concatenate(picked),
-            "distance": np.concatenate(values),
-        }
-    )
-    return out
+class _Best:
+    """The best ``k`` hits so far of each of some queries of one firm."""
+
+    def __init__(self, asked: pd.DataFrame, k: int):
+        self.k = k
+        self.requests = asked["request_id"].tolist()
+        self.vectors = list(asked["query"])
+        self.wanted = [w if isinstance(w, str) else None for w in asked["wanted"]]
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [
+            (np.empty(0), np.empty(0, dtype=object)) for _ in self.requests
+        ]
+        # The distance a row must not exceed to matter; infinite until k are held.
+        self.bar = np.full(len(self.requests), np.inf)
+        self.full = np.zeros(len(self.requests), bool)
+        self.skipped = 0
+
+    def _unreachable(self, vectors: list) -> np.ndarray:
+        """Queries that no row of the batch can serve: all are too far.
+
+        On the unit sphere the angle of query and row is at least that of query
+        and centroid less the radius.  Only for vectors of one length, none zero.
+        """
+        none = np.zeros(len(self.requests), bool)
+        if not self.full.any() or len({len(v) for v in vectors}) != 1:
+            return none
+        rows, usable = _unit_rows(vectors)
+        centre = rows.mean(axis=0)
+        size = np.sqrt(centre @ centre)
+        if not usable.all() or size < SLACK:
+            return none
+        centre /= size
+        radius = np.arccos(np.clip(rows @ centre, -1, 1)).max()
+        same = np.array([len(v) == len(centre) for v in self.vectors])
+        some = np.flatnonzero(same & self.full)
+        if not len(some):
+            return none
+        asked, ok = _unit_rows([self.vectors[i] for i in some])
+        angle = np.arccos(np.clip(asked @ centre, -1, 1))
+        least = 1 - np.cos(np.maximum(0, angle - radius))
+        none[some] = ok & (least - SLACK > self.bar[some])
+        return none
+
+    def offer(self, memory: pd.DataFrame) -> None:
+        vectors = list(memory["embedding"])
+        open_ = np.flatnonzero(~self._unreachable(vectors))
+        self.skipped += len(self.requests) - len(open_)
+        if not len(open_):
+            return
+        ids = memory["id"].to_numpy(dtype=object)
+        matters = memory["matter_id"].to_numpy(dtype=object)
+        table = _distances([self.vectors[i] for i in open_], vectors)
+        for row, i in enumerate(open_.tolist()):
+            d = table[row]
+            near = ~self.full[i] | (d <= self.bar[i])
+            if self.wanted[i] is not None:
+                near = near & (matters == self.wanted[i])
+            near = np.flatnonzero(near)
+            if not len(near):
+                continue
+            if len(near) > self.k:
+                edge = np.partition(d[near], self.k - 1)[self.k - 1]
+                near = near[d[near] <= edge]
+            have_d, have_ids = self.held[i]
+            all_d = np.concatenate((have_d, d[near]))
+            all_ids = np.concatenate((have_ids, ids[near]))
+            order = np.lexsort((all_ids, all_d))[: self.k]
+            self.held[i] = all_d[order], all_ids[order]
+            if len(order) == self.k:
+                self.full[i], self.bar[i] = True, all_d[order[-1]]
+
+    def hits(self, firm: str) -> pd.DataFrame:
+        n = [len(d) for d, _ in self.held]
+        return pd.DataFrame(
+            {
+                "request_id": np.repeat(np.array(self.requests, dtype=object), n),
+                "firm_id": firm,
+                "id": np.concatenate([i for _, i in self.held]),
+                "distance": np.concatenate([d for d, _ in self.held]),
+            }
+        )
 
 
-def _shipped(queries: list, memory: DataFrame, k: int) -> DataFrame:
-    """Scan the memory once, with all queries at hand (a checked number)."""
+def _scanned(queries: list, memory: DataFrame, k: int) -> DataFrame:
+    """One scan of the memory, with a block of queries at hand."""
     firms = sorted({r["firm_id"] for r in queries if r["firm_id"] is not None})
     if len(firms) <= PUSHED_FIRMS:
         # Reaches the scan: other firms' files and row groups are skipped.
@@ -112,53 +172,218 @@ def _shipped(queries: list, memory: DataFrame, k: int) -> DataFrame:
             held.value, columns=["request_id", "firm_id", "query", "wanted"]
         )
         per_firm = dict(tuple(asked.groupby("firm_id")))
+        best: dict[str, _Best] = {}
         for batch in batches:
             for firm, rows in batch.groupby("firm_id"):
-                if firm in per_firm:
-                    yield _block_hits(per_firm[firm], rows, k)
+                if firm not in per_firm:
+                    continue
+                if firm not in best:
+                    best[firm] = _Best(per_firm[firm], k)
+                for at in range(0, len(rows), BATCH_ROWS):
+                    best[firm].offer(rows.iloc[at : at + BATCH_ROWS])
+        for firm, found in best.items():
+            yield found.hits(firm)
 
     return memory.mapInPandas(score, _HIT)
 
 
-def _gridded(
-    queries: DataFrame, memory: DataFrame, k: int, block_q: int, block_m: int
-) -> DataFrame:
-    """Co-group bounded query blocks with bounded memory blocks.
+def _query_blocks(asked: DataFrame, most: int, most_bytes: int) -> Iterator[list]:
+    """The queries, at most about ``most`` at a time, firm by firm."""
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("query"))).first()
+    rows = max(1, min(most, most_bytes // (8 * max(1, width or 1))))
+    if n <= rows:
+        yield asked.collect()
+        return
+    # Written: range bounds are sampled, a second run could cut elsewhere.
+    cut = written(
+        asked.repartitionByRange(-(-n // rows), "firm_id", "request_id").withColumn(
+            "_block", F.spark_partition_id()
+        ),
+        "query-blocks",
+    )
+    for (block,) in sorted(cut.select("_block").distinct().collect()):
+        yield cut.where(F.col("_block") == block).drop("_block").collect()
+
+
+@dataclass(frozen=True)
+class Clustered:
+    """A memory whose near vectors lie together: its rows, and a line per cell."""
+
+    memory: DataFrame
+    cells: DataFrame
+
+
+CELLS = 64
+SAMPLED = 4096
+# Cells that a search leaves out by name; beyond it by a join.
+NAMED_CELLS = 20_000
 
-    Block counts per firm come from the row counts; a row's block is a hash of
-    its id, so blocks are even whatever the firm's size.
+
+def clustered(
+    memory: DataFrame, path: str | None = None, cells: int = CELLS, sampled: int = SAMPLED
+) -> Clustered:
+    """Store ``memory`` by (firm, cell); a cell is a row's nearest guide vector.
+
+    The ``cells`` guides are spread over at most ``sampled`` rows (by a hash of
+    their ids), which only decides how tight the cells are: every row is stored
+    and every bound is taken from all rows of its cell.  Rows without a usable
+    vector have a cell of their own, which every search reads.
     """
+    spark = memory.sparkSession
+    path = path or scratch_path(spark, "clustered")
+    rows = (
+        memory.where(F.col("embedding").isNotNull())
+        .select("embedding")
+        .orderBy(F.xxhash64("id"))
+        .limit(sampled)
+        .collect()
+    )
+    by_size: dict[int, list] = {}
+    for r in rows:
+        by_size.setdefault(len(r["embedding"]), []).append(r["embedding"])
+    guides = {}
+    for n, vectors in by_size.items():
+        unit, usable = _unit_rows(vectors)
+        if usable.any():
+            guides[n] = _spread_out(unit[usable], cells)
+    held = spark.sparkContext.broadcast(guides)
+
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            out = np.full(len(vectors), -1)
+            sizes = np.array([-1 if v is None else len(v) for v in vectors])
+            for n, guide in held.value.items():
+                at = np.flatnonzero(sizes == n)
+                if len(at):
+                    unit, usable = _unit_rows([vectors.iloc[i] for i in at])
+                    out[at] = np.where(usable, (unit @ guide.T).argmax(axis=1), -1)
+            yield pd.Series(out)
+
+    cell_of = F.pandas_udf(nearest, "int")
+    stored = memory.withColumn("cell", cell_of("embedding"))
+    # A hot firm or cell is cut over several tasks and files.
+    stored.hint("rebalance", "firm_id", "cell").sortWithinPartitions("firm_id", "cell").write.partitionBy(
+        "firm_id", "cell"
+    ).parquet(path)
+    schema = T.StructType(
+        [
+            *[f for f in stored.schema if f.name not in ("firm_id", "cell")],
+            stored.schema["firm_id"],
+            stored.schema["cell"],
+        ]
+    )
+    kept = spark.read.schema(schema).parquet(path)
+    return Clustered(kept, written(_cell_lines(kept), "cells"))
+
+
+def _spread_out(unit: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` rows, each the farthest from those before it."""
+    chosen = [0]
+    near = unit @ unit[0]
+    while len(chosen) < min(n, len(unit)) and near.min() < 1 - SLACK:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def _dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
-    def block_counts(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("firm_id").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name)
-        )
 
-    counts = block_counts(queries, block_q, "_qn").join(
-        block_counts(memory, block_m, "_mn"), "firm_id"
+def _unit(v: Column) -> Column:
+    norm = F.sqrt(_dot(v, v))
+    return F.transform(v, lambda x: F.try_divide(x.cast("double"), norm))
+
+
+def _cell_lines(memory: DataFrame) -> DataFrame:
+    """(firm_id, cell, width, centre, radius, n) of each cell with usable rows."""
+    own = ["firm_id", "cell", "width"]
+    unit = memory.where(F.col("cell") >= 0).select(
+        "firm_id", "cell", F.size("embedding").alias("width"), _unit(F.col("embedding")).alias("u")
+    )
+    sums = (
+        unit.select(*own, F.posexplode("u").alias("i", "x"))
+        .groupBy(*own, "i")
+        .agg(F.sum("x").alias("x"))
+        .groupBy(*own)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centre"))
     )
-    # One row per firm that has queries; its size decides how Spark joins it.
-    def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str):
-        return (
-            df.join(counts, "firm_id")
-            .withColumn(own, F.pmod(F.xxhash64("_id"), F.col(own_n)))
-            .withColumn(
-                other, F.explode(F.sequence(F.lit(0), F.col(other_n) - F.lit(1)))
-            )
-            .withColumn(own, F.col(own).cast("int"))
-            .drop("_qn", "_mn", "_id")
+    centres = sums.where(_dot(F.col("centre"), F.col("centre")) > SLACK).select(
+        *own, _unit(F.col("centre")).alias("centre")
+    )
+    return (
+        unit.join(centres, own)
+        .withColumn("_angle", _angle(F.col("u"), F.col("centre")))
+        .groupBy(*own)
+        .agg(
+            F.first("centre").alias("centre"),
+            F.max("_angle").alias("radius"),
+            F.count(F.lit(1)).alias("n"),
         )
+    )
+
+
+def _angle(u: Column, v: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(u, v))))
+
+
+def needed_cells(queries: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """(firm_id, cell) of the cells that may hold one of a query's ``k`` best.
+
+    From the cells' largest possible distances, nearest first, follows a distance
+    within which ``k`` rows surely lie; a cell whose smallest possible distance
+    is beyond it holds no hit.  Queries restricted to a matter, and zero vectors,
+    need all cells of their firm.
+    """
+    query = F.col("query")
+    asked = queries.select(
+        "request_id",
+        "firm_id",
+        (F.col("wanted").isNotNull() | (_dot(query, query) <= 0)).alias("all"),
+        F.size(query).alias("width"),
+        _unit(query).alias("q"),
+    )
+    per_cell = asked.join(cells, ["firm_id", "width"]).withColumn(
+        "_angle", _angle(F.col("q"), F.col("centre"))
+    )
+    far = 1 - F.cos(F.least(F.lit(np.pi), F.col("_angle") + F.col("radius")))
+    near = 1 - F.cos(F.greatest(F.lit(0.0), F.col("_angle") - F.col("radius")))
+    nearest_first = Window.partitionBy("request_id", "firm_id").orderBy("far", "cell")
+    bounded = per_cell.select(
+        "request_id", "firm_id", "cell", "all", "n", far.alias("far"), near.alias("near")
+    ).withColumn("_sum", F.sum("n").over(nearest_first))
+    enough = F.min(F.when(F.col("_sum") >= k, F.col("far"))).over(
+        Window.partitionBy("request_id", "firm_id")
+    )
+    reached = F.coalesce(F.col("near") <= F.col("_enough") + SLACK, F.lit(True))
+    return (
+        bounded.withColumn("_enough", enough)
+        .where(reached | F.col("all"))
+        .select("firm_id", "cell")
+        .distinct()
+    )
 
-    q = spread(queries.withColumn("_id", F.col("request_id")), "_qb", "_qn", "_mb", "_mn")
-    m = spread(memory.withColumn("_id", F.col("id")), "_mb", "_mn", "_qb", "_qn")
-    keys = ["firm_id", "_qb", "_mb"]
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["request_id", "firm_id", "id", "distance"])
-        return _block_hits(left, right, k)
+def _reachable(asked: DataFrame, memory: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """``memory`` without the cells that hold no hit of any query.
 
-    return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(score, _HIT)
+    Cells without a line (no usable vector, or a centre at zero) stay.
+    """
+    lines = cells.select("firm_id", "cell").distinct().withColumn("_lined", F.lit(True))
+    needed = needed_cells(asked, cells, k).withColumn("_needed", F.lit(True))
+    out = (
+        lines.join(needed, ["firm_id", "cell"], "left")
+        .where(F.col("_needed").isNull())
+        .select("firm_id", "cell")
+    )
+    gone = written(out, "cells-out")
+    if gone.count() > NAMED_CELLS:
+        return memory.join(gone, ["firm_id", "cell"], "left_anti")
+    # Reaches the listing of folders: a cell's files are not opened.
+    named = F.concat_ws("\x1f", "cell", "firm_id")
+    names = [r[0] for r in gone.select(named).collect()]
+    return memory.where(~named.isin(names)) if names else memory
 
 
 def vector_topk(
@@ -166,14 +391,16 @@ def vector_topk(
     memory: DataFrame,
     k: int = S.SEARCH_DEFAULT_K,
     status: str | None = None,
-    shipped_queries: int = SHIPPED_QUERIES,
     block_queries: int = BLOCK_QUERIES,
-    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """(request_id, rank, memory columns, distance, similarity), k per request.
 
     Queries: (request_id, firm_id, embedding, matter_id or null).  Rows without
-    a vector are out.  Ties go to the smaller id, missing distances last.
+    a vector are out.  Ties go to the smaller id, missing distances last.  With
+    ``cells`` (of ``clustered``, whose memory is then given) cells that cannot
+    hold a hit are not read.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -184,14 +411,18 @@ def vector_topk(
         F.col("matter_id").alias("wanted"),
     )
     stored = memory.where(F.col("embedding").isNotNull())
+    if cells is not None:
+        if status is not None:
+            raise ValueError("cells count rows of any status")
+        stored = _reachable(asked, stored, cells, k)
     if status is not None:
         stored = stored.where(F.col("status") == status)
     slim = stored.select("id", "firm_id", "matter_id", "embedding")
-    few = asked.limit(shipped_queries + 1).collect()
-    if len(few) <= shipped_queries:
-        hits = _shipped(few, slim, k)
-    else:
-        hits = _gridded(asked, slim, k, block_queries, block_rows)
+    hits: DataFrame | None = None
+    for block in _query_blocks(asked, block_queries, block_bytes):
+        # Written block by block, so only one block is held at a time.
+        found = written(_scanned(block, slim, k), "hits")
+        hits = found if hits is None else hits.unionByName(found)
     distance = F.when(F.col("distance") < float("inf"), F.col("distance"))
     best = top_per_group(
         hits.withColumn("distance", distance),
@@ -199,7 +430,6 @@ def vector_topk(
         [F.col("distance").asc_nulls_last(), F.col("id").asc()],
         k,
     )
-    best = written(best, "nearest")
     shown = [
         c
         for c in (
@@ -227,11 +457,6 @@ def vector_topk(
     )
 
 
-def register_match_function(memory: DataFrame, view: str = "matter_memory") -> None:
-    """Make the memory available to SQL under ``view``."""
-    memory.createOrReplaceTempView(view)
-
-
 def match_matter_memory(
     memory: DataFrame,
     firm_id: str,

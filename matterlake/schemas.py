@@ -253,11 +253,8 @@ CHARS_PER_TOKEN = 4
 MIN_CONTENT_CHARS = 50
 EXCERPT_CHARS = 2000
 ERROR_CHARS = 2000
-HINT_CHARS = 80
 EMBED_BATCH = 100
 EMBED_ATTEMPTS = 3
 SEARCH_DEFAULT_K = 8
 DIRECTORY_ROWS = 50
-NAME_HITS = 5
-ALTERNATIVES = 3
 CODE_LIFE_SECONDS = 300

@@ -1,9 +1,15 @@
-"""Streams over the benchmark files, drained once; results must equal the batch."""
+"""Streams over the benchmark files; results must equal the batch.
+
+Some drain a whole table at once, some get it in parts that arrive one after the
+other, each drained by a call of its own that goes on from the checkpoint.
+"""
 
 from pyspark.sql import functions as F
 
 from matterlake.plans.storage import scratch_path
+from matterlake.streaming import handoffs as SH
 from matterlake.streaming import jobs as J
+from matterlake.streaming import supersession as SS
 from matterlake.workload import q_documents as QD
 from matterlake.workload.q_matters import (
     CODE_SQL,
@@ -30,10 +36,21 @@ def _text(column):
     return F.col(column).cast("string")
 
 
-def _positions_stream(s):
+def _in_parts(s, rows, part, n, drain):
+    """Write the ``n`` parts of ``rows`` one by one; ``drain`` a stream of each.
+
+    A part is whatever new files there are, so it is one micro-batch of any size.
+    """
+    path = scratch_path(s.spark, "arriving")
+    for i in range(n):
+        rows.where(part == i).write.mode("append").parquet(path)
+        drain(J.file_stream(s.spark, path, rows.schema))
+
+
+def _positions(events):
     """The id, key and order columns of the positions stand-in."""
     user = F.col("user_id")
-    return _stream(s, "events").select(
+    return events.select(
         F.concat(F.lit("p"), _text("event_id")).alias("id"),
         F.concat(F.lit("f"), (user % 10).cast("string")).alias("firm_id"),
         F.concat(F.lit("m"), user.cast("string")).alias("matter_id"),
@@ -53,10 +70,49 @@ def _positions_stream(s):
     "positions",
 )
 def stream_supersession(s):
-    links = scratch_path(s.spark, "links")
-    state = scratch_path(s.spark, "state")
-    J.supersession_stream(_positions_stream(s), links, state)
-    return s.spark.read.parquet(links).drop("batch")
+    links, state = SS.fresh_paths(s.spark, "positions")
+    SS.supersession_stream(_positions(_stream(s, "events")), links, state)
+    return SS.links(s.spark, links)
+
+
+# Positions arrive in three parts that are not in the order of their times.
+ARRIVAL_PARTS = 3
+ARRIVAL = f"CAST(substr(id, 2) AS BIGINT) % {ARRIVAL_PARTS}"
+
+
+def _late_positions(s):
+    rows = _positions(s.base("events"))
+    part = F.substring("id", 2, 20).cast("long") % ARRIVAL_PARTS
+    links, state = SS.fresh_paths(s.spark, "late")
+    _in_parts(
+        s, rows, part, ARRIVAL_PARTS, lambda st: SS.supersession_stream(st, links, state)
+    )
+    return links, state
+
+
+@query(
+    "stream_supersession_late",
+    f"""SELECT * FROM (
+         SELECT firm_id, matter_id, clause_type, id, lead(id) OVER (
+                  PARTITION BY firm_id, matter_id, clause_type
+                  ORDER BY {ARRIVAL}, created_at, seq, id) AS superseded_by
+         FROM positions) WHERE superseded_by IS NOT NULL""",
+    "positions",
+)
+def stream_supersession_late(s):
+    return SS.links(s.spark, _late_positions(s)[0])
+
+
+@query(
+    "stream_current_positions",
+    f"""SELECT firm_id, matter_id, clause_type, id FROM positions
+        QUALIFY row_number() OVER (
+          PARTITION BY firm_id, matter_id, clause_type
+          ORDER BY {ARRIVAL} DESC, created_at DESC, seq DESC, id DESC) = 1""",
+    "positions",
+)
+def stream_current_positions(s):
+    return SS.current_ids(s.spark, _late_positions(s)[1])
 
 
 @query(
@@ -136,41 +192,38 @@ def stream_intake(s):
     return s.spark.read.parquet(path).select(*QD.LEDGER_COLUMNS)
 
 
+UPDATE_PARTS = 3
+
+
+def _updated(i: int) -> str:
+    return f"TIMESTAMP '2025-01-0{i + 1} 00:00:00'"
+
+
 @query(
     "stream_handoffs",
-    f"WITH {QD.HANDOFF_SQL}, {QD.UPSERT_SQL} SELECT * FROM after_",
+    f"WITH {QD.STORED_SQL}, "
+    + ", ".join(
+        QD.upsert_sql(i + 1, f"doc_id % {UPDATE_PARTS} = {i}", _updated(i))
+        for i in range(UPDATE_PARTS)
+    )
+    + f" SELECT * FROM after_{UPDATE_PARTS}",
     "sized",
 )
 def stream_handoffs(s):
-    text = F.col("text")
-    n = F.col("doc_id")
-    mark = (
-        F.when(n % 4 == 0, "_v3 (2).docx")
-        .when(n % 4 == 1, " v1.2 - signed (12).doc")
-        .when(n % 4 == 2, "_FINAL.docx")
-        .otherwise(".docx")
-    )
-
-    def times(char):
-        return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit(""))) + 1
-
-    sized = _stream(s, "documents").select(
-        "doc_id",
-        F.concat(F.lit("f"), (n % 5).cast("string")).alias("firm_id"),
-        F.concat(
-            F.lit("Memo "), F.col("source"), F.lit(" "), F.col("lang"), mark
-        ).alias("doc_title"),
-        times("\n").cast("int").alias("paragraph_count"),
-        times(" ").cast("int").alias("word_count"),
-    )
+    """Three micro-batches of updates, each of which finds what the last one left."""
+    updates = QD.updates_of(s.sized)
     stored = QD.stored_handoffs(s.sized)
-    path = scratch_path(s.spark, "handoffs")
-    J.handoff_stream(
-        QD.updates_of(sized),
-        stored,
-        path,
-        now=F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"),
+    part = F.substring("request_id", 2, 20).cast("long") % UPDATE_PARTS
+    path, mark = scratch_path(s.spark, "handoffs"), scratch_path(s.spark, "mark")
+    now = F.expr(
+        f"CAST(date_add(DATE '2025-01-01', CAST(CAST(substr(request_id, 2) AS BIGINT) % {UPDATE_PARTS} AS INT))"
+        " AS timestamp_ntz)"
     )
-    return J.newest_version(s.spark, path, stored.schema).select(
-        "firm_id", "word_count", "summary"
+    _in_parts(
+        s,
+        updates,
+        part,
+        UPDATE_PARTS,
+        lambda st: SH.handoff_stream(st, stored, path, mark, now, buckets=16, depth=2),
     )
+    return SH.stored_handoffs(s.spark, path, stored.schema, buckets=16)

@@ -198,10 +198,11 @@ def test_normalise_parties(spark):
 
 def test_others_of(spark):
     rows = [(["a", None, "b", "c", "d", "e"], "b")]
-    found = values(
-        spark, rows, "i array<string>, c string", C.others_of(F.col("i"), F.col("c"))
-    )
-    assert found == [["a", "c", "d"]]
+    for n, want in ((3, ["a", "c", "d"]), (None, ["a", "c", "d", "e"])):
+        found = values(
+            spark, rows, "i array<string>, c string", C.others_of(F.col("i"), F.col("c"), n)
+        )
+        assert found == [want]
 
 
 def test_times(spark):

@@ -110,8 +110,8 @@ def _expected(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("grid", [False, True])
-def test_vector_topk(spark, grid):
+@pytest.mark.parametrize("form", ["one block", "blocks", "cells", "small batches"])
+def test_vector_topk(spark, form, monkeypatch):
     rows = _memory(spark)
     queries = [
         (f"q{i}", "fg"[i % 2], [float(i + 1), 1.0, 1.0, -1.0, 2.0, 1.0], f"m{i}" if i > 4 else None)
@@ -120,15 +120,63 @@ def test_vector_topk(spark, grid):
     queries.append(("ones", "f", [1.0] * 6, None))
     memory = spark.createDataFrame(rows, MEMORY)
     asked = spark.createDataFrame(queries, QUERIES)
-    extra = (
-        {"shipped_queries": 0, "block_queries": 2, "block_rows": 30} if grid else {}
-    )
+    queries.append(("zero", "f", [0.0] * 6, None))
+    asked = spark.createDataFrame(queries, QUERIES)
+    extra = {"block_queries": 3} if form == "blocks" else {}
+    if form == "cells":
+        stored = VX.clustered(memory, cells=4)
+        memory, extra = stored.memory, {"cells": stored.cells}
+    if form == "small batches":
+        monkeypatch.setattr(VX, "BATCH_ROWS", 3)
     found = VX.vector_topk(asked, memory, k=5, **extra).collect()
     got = sorted((r["request_id"], r["rank"], r["id"]) for r in found)
     assert got == _expected(rows, queries, 5)
     assert {r["firm_id"] for r in found if r["request_id"] == "ones"} == {"f"}
 
 
+def _near(spark, n_groups=6, each=50):
+    """Groups of near vectors along the axes."""
+    r = np.random.default_rng(4)
+    rows = []
+    for g in range(n_groups):
+        for i in range(each):
+            v = np.eye(n_groups)[g] + r.normal(scale=0.01, size=n_groups)
+            rows.append((f"v{g}-{i:02d}", "f", "m", [float(x) for x in v], "active"))
+    return rows
+
+
+def test_running_heaps_skip_batches_and_send_k_rows():
+    import pandas as pd
+
+    rows = _near(None)
+    asked = pd.DataFrame({"request_id": ["q"], "query": [np.eye(6)[0]], "wanted": [None]})
+    memory = pd.DataFrame(rows, columns=["id", "firm_id", "matter_id", "embedding", "status"])
+    best = VX._Best(asked, 4)
+    for at in range(0, len(memory), 10):
+        best.offer(memory.iloc[at : at + 10])
+    # All batches of the five other groups are passed over.
+    assert best.skipped == 25
+    expected = [i for _, _, i in _expected(rows, [("q", "f", np.eye(6)[0], None)], 4)]
+    assert best.hits("f")["id"].tolist() == expected
+
+
+def test_far_cells_are_not_read(spark):
+    rows = _near(spark)
+    memory = spark.createDataFrame(rows, MEMORY)
+    stored = VX.clustered(memory, cells=6)
+    assert stored.cells.agg({"n": "sum"}).first()[0] == len(rows)
+    q = [float(x) for x in np.eye(6)[2]]
+    asked = spark.createDataFrame([("q", "f", q, None)], QUERIES).withColumnsRenamed(
+        {"embedding": "query", "matter_id": "wanted"}
+    )
+    needed = VX.needed_cells(asked, stored.cells, 4)
+    assert needed.count() == 1
+    left = VX._reachable(asked, stored.memory, stored.cells, 4)
+    assert left.count() == 50
+    scan = left._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in scan and "INSET" in scan.upper() or "IN (" in scan.upper()
+
+
 def test_missing_distances_sort_last(spark):
     memory = spark.createDataFrame(
         [

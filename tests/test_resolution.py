@@ -10,6 +10,7 @@ from matterlake.functions import text as X
 from matterlake.operators import handoffs as H
 from matterlake.operators import resolution as R
 from matterlake.plans import containment as CT
+from matterlake.plans.wordmatch import _automaton, names_in, word_matches
 
 MATTERS = (
     "id string, firm_id string, matter_name string, client_name string, created_at int"
@@ -146,24 +147,22 @@ def test_containment_equals_brute_force(spark, monkeypatch, few):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("long", [20, 1000])
-def test_word_containment_equals_brute_force(spark, monkeypatch, long):
-    monkeypatch.setattr(CT, "LONG_TEXT", long)
+@pytest.mark.parametrize("letters", [20, 1_000_000])
+def test_word_containment_equals_brute_force(spark, letters):
     r = random.Random(5)
     tokens = ["acme", "a", "nda", "elion", "(x)", "é", "..", "b-c", "日本語", "nda2"]
     names = {" ".join(r.choices(tokens, k=r.randint(1, 3))) for _ in range(60)}
     texts = [
         (f"r{i}", " ".join(r.choices(tokens, k=r.randint(0, 9)))) for i in range(120)
     ]
+    names = {n for n in names if len(n) >= 3}
     p = spark.createDataFrame(
         [("f", n) for n in sorted(names)], "firm_id string, pattern string"
     )
     t = spark.createDataFrame(
         [("f", x, i) for i, x in texts], "firm_id string, text string, request_id string"
     )
-    found = CT.containment_pairs(
-        p, t, X.contains_word, by_words=True, text_id="request_id"
-    )
+    found = word_matches(p, t, "request_id", block_letters=letters)
     got = sorted((x["pattern"], x["request_id"]) for x in found.collect())
     brute = p.crossJoin(t.drop("firm_id")).where(
         X.contains_word(F.col("pattern"), F.col("text"))
@@ -172,6 +171,71 @@ def test_word_containment_equals_brute_force(spark, monkeypatch, long):
     assert got
 
 
+def test_automaton_reads_overlapping_names_and_boundaries():
+    automaton = _automaton(["nda", "mutual nda", "(x)", "é", "a_b", ".."])
+    assert names_in(automaton, "mutual nda") == ["mutual nda", "nda"]
+    assert names_in(automaton, "ndas panda nda_") == []
+    # A name that ends in a mark ends where a word letter follows.
+    assert names_in(automaton, "f(x)y") == ["(x)"]
+    assert names_in(automaton, "f (x) y") == []
+    assert names_in(automaton, "aéb") == ["é"]
+    assert names_in(automaton, "") == []
+
+
+def test_hits_behind_any_number_of_others_are_found(spark):
+    matters = spark.createDataFrame(
+        [("m6", "f", "one", None, 1), ("m7", "f", "two", None, 2)]
+        + [(f"n{i:02d}", "f", f"the long name {i:02d}", "Client", i) for i in range(12)],
+        MATTERS,
+    )
+    docs = spark.createDataFrame(
+        [(f"d{i}", "f", f"m{i}", f"lease {i}", False, None) for i in range(8)], DOCS
+    )
+    asked = hints(spark, ("r", "f", None, "lease", None))
+    got = answers(R.by_document_name(asked, docs, matters))["r"]
+    assert (got["matter_id"], got["document_id"], got["alternatives"]) == ("m6", "d6", ["m7"])
+    # The first five hits only, as a service that asks for five rows sees them.
+    capped = answers(R.by_document_name(asked, docs, matters, k=5, alternatives=3))["r"]
+    assert (capped["matter_id"], capped["document_id"]) == (None, "d0")
+    assert capped["alternatives"] == []
+
+    asked = hints(spark, ("r", "f", None, "long name", None))
+    every = [f"n{i:02d}" for i in range(12)]
+    got = answers(R.by_matter_name(asked, matters))["r"]
+    assert [got["matter_id"], *got["alternatives"]] == every
+    got = answers(R.by_matter_name(asked, matters, k=5))["r"]
+    assert [got["matter_id"], *got["alternatives"]] == every[:5]
+
+    asked = hints(spark, ("r", "f", None, None, "of the client"))
+    got = answers(R.by_names_in_hint(asked, matters))["r"]
+    assert [got["matter_id"], *got["alternatives"]] == every[::-1]
+    got = answers(R.by_names_in_hint(asked, matters, alternatives=3))["r"]
+    assert got["alternatives"] == ["n10", "n09", "n08"]
+
+
+def test_whole_snippets_are_hints(spark):
+    name = "a" * 90 + " the end"
+    matters = spark.createDataFrame([("m", "f", name + " of it", None, 1)], MATTERS)
+    asked = hints(
+        spark, ("r", "f", None, None, name), ("s", "f", None, None, "a" * 85 + " other")
+    )
+    assert set(answers(R.by_matter_name(asked, matters))) == {"r"}
+    assert set(answers(R.by_matter_name(asked, matters, hint_chars=80))) == {"r", "s"}
+
+
+def test_anchors_are_rare_in_texts(spark):
+    """Parts rare among patterns but common in texts make no candidates."""
+    texts = [("f", f"common words {i}") for i in range(300)] + [("f", "common zebra words")]
+    patterns = [("f", "common zebra")]
+    found = CT.containment_pairs(
+        spark.createDataFrame(patterns, "firm_id string, pattern string"),
+        spark.createDataFrame(texts, "firm_id string, text string"),
+        lambda p, t: F.lit(True),
+    )
+    # Without a check of the text only the anchor decides.
+    assert found.count() == 1
+
+
 HANDOFFS = (
     "id string, firm_id string, doc_title string, doc_title_normalised string, "
     "paragraph_count int, word_count int, summary string, turn_count int, "

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from matterlake.operators import positions as P
 from matterlake.plans.storage import scratch_path
+from matterlake.plans import deltas
+from matterlake.streaming import handoffs as SH
 from matterlake.streaming import jobs as J
+from matterlake.streaming import supersession as SS
 
 EVENTS = (
     "id string, firm_id string, matter_id string, clause_type string, "
@@ -38,17 +41,56 @@ def test_supersession_over_batches(spark):
         part = rows.where(f"id >= 'p{lo:03d}' and id < 'p{lo + 30:03d}'")
         part.coalesce(1).write.mode("append").parquet(path)
     stream = J.file_stream(spark, path, rows.schema, files_per_trigger=1)
-    out, state = scratch_path(spark, "links"), scratch_path(spark, "state")
+    out, state = SS.fresh_paths(spark, "positions")
     # The hot key has ten rows in each batch; some matters are null in every batch.
-    J.supersession_stream(stream, out, state, hot_rows=5, slice_rows=3)
-    got = {(r["id"], r["superseded_by"]) for r in spark.read.parquet(out).collect()}
+    for _ in range(2):  # a second run finds nothing new
+        SS.supersession_stream(stream, out, state, hot_rows=5, slice_rows=3)
+    got = sorted((r["id"], r["superseded_by"]) for r in SS.links(spark, out).collect())
     batch = P.supersede(rows).where("superseded_by is not null")
-    assert got == {(r["id"], r["superseded_by"]) for r in batch.collect()}
-    held = spark.read.parquet(f"{state}/version=2")
+    assert got == sorted((r["id"], r["superseded_by"]) for r in batch.collect())
     now = P.current(P.supersede(rows))
-    assert sorted(r["id"] for r in held.collect()) == sorted(
-        r["id"] for r in now.collect()
-    )
+    held = SS.current_ids(spark, state).collect()
+    assert len(held) == len(now.select(*P.KEY).distinct().collect())
+    assert {tuple(r) for r in held} == {
+        (r["firm_id"], r["matter_id"], r["clause_type"], r["id"]) for r in now.collect()
+    }
+
+
+def test_late_positions_supersede_in_order_of_arrival(spark):
+    schema = "id string, firm_id string, matter_id string, clause_type string, s long, seq int"
+    path = scratch_path(spark, "late-positions")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).select(
+            "id", "firm_id", "matter_id", "clause_type",
+            F.timestamp_seconds("s").alias("created_at"), "seq",
+        ).write.mode("append").parquet(path)
+
+    out, state = SS.fresh_paths(spark, "late")
+
+    def drain():
+        stream = J.file_stream(spark, path, spark.read.parquet(path).schema)
+        SS.supersession_stream(stream, out, state)
+
+    arrive([("a2", "f", "m", "c", 20, 0), ("a1", "f", "m", "c", 10, 0), ("x", "f", None, "c", 1, 0)])
+    drain()
+    arrive([("late", "f", "m", "c", 5, 0), ("other", "g", "m", "c", 5, 0)])
+    drain()
+    arrive([("y", "f", None, "c", 0, 1), ("y2", "f", None, "c", 0, 2)])
+    drain()
+    got = {(r["id"], r["superseded_by"]) for r in SS.links(spark, out).collect()}
+    assert got == {("a1", "a2"), ("a2", "late"), ("x", "y"), ("y", "y2")}
+    held = {r["id"] for r in SS.current_ids(spark, state).collect()}
+    assert held == {"late", "other", "y2"}
+
+
+def test_supersession_of_an_empty_stream(spark):
+    empty = spark.createDataFrame([], EVENTS)
+    path = scratch_path(spark, "none")
+    empty.write.parquet(path)
+    out, state = SS.fresh_paths(spark, "none")
+    SS.supersession_stream(J.file_stream(spark, path, empty.schema), out, state)
+    assert SS.links(spark, out).collect() == []
 
 
 def test_intake_stream_handles_each_request_once(spark):
@@ -89,13 +131,62 @@ def test_handoff_stream_versions(spark):
         spark, path, spark.createDataFrame([], schema).schema, files_per_trigger=1
     )
     out = scratch_path(spark, "handoffs")
-    J.handoff_stream(stream, stored, out)
-    table = J.newest_version(spark, out, stored.schema)
+    SH.handoff_stream(stream, stored, out)
+    table = SH.stored_handoffs(spark, out, stored.schema)
     got = sorted((r["doc_title"], r["summary"]) for r in table.collect())
     assert got == [("New.docx", "other"), ("msa.docx", "second")]
     assert {r["id"] for r in table.collect() if r["doc_title"] == "msa.docx"} == {"h1"}
 
 
+LAYERED = "firm string, id int, value string"
+
+
+def layered(spark, name, **more):
+    schema = spark.createDataFrame([], LAYERED).schema
+    return deltas.Layout(scratch_path(spark, name), schema, ("firm", "id"), ("id",), **more)
+
+
+def change(spark, layout, version, rows):
+    df = spark.createDataFrame(rows, LAYERED)
+    deltas.commit(df, layout, version, deltas.touched_buckets(df, layout))
+
+
+def test_layers_equal_a_table_changed_in_place(spark):
+    import random
+
+    rng = random.Random(2)
+    layout = layered(spark, "layers", buckets=4, depth=2)
+    held = {("f", i): f"v{i}" for i in range(40)} | {(None, 1): "no firm"}
+    deltas.create(spark.createDataFrame([(*k, v) for k, v in held.items()], LAYERED), layout)
+    for version in range(1, 6):
+        rows = {(rng.choice(("f", None)), rng.randrange(50)): f"b{version}" for _ in range(5)}
+        for _ in range(2 if version == 3 else 1):  # a repeated batch changes nothing
+            change(spark, layout, version, [(*k, v) for k, v in rows.items()])
+        held |= rows
+        got = {(r["firm"], r["id"]): r["value"] for r in deltas.read(spark, layout).collect()}
+        assert got == held
+    found = deltas.layers(spark, layout, 5)
+    assert max(map(len, found.values())) <= layout.depth
+    # An older version stays readable until it expires.
+    assert deltas.read(spark, layout, 0).count() == 41
+    assert deltas.expire(spark, layout, keep=1) > 0
+    assert deltas.read(spark, layout).count() == len(held)
+
+
+def test_a_small_change_reads_and_writes_its_buckets_only(spark):
+    layout = layered(spark, "narrow", buckets=32)
+    rows = spark.range(3000).selectExpr("'f' as firm", "cast(id as int) as id", "'x' as value")
+    deltas.create(rows, layout)
+    change(spark, layout, 1, [("f", 7, "y")])
+    layer = spark.read.parquet(f"{layout.path}/data/_version=1")
+    assert layer.count() == 1
+    [bucket] = deltas.touched_buckets(spark.createDataFrame([("f", 7, "y")], LAYERED), layout)
+    part = deltas.read(spark, layout, 1, [bucket])
+    assert 0 < part.count() < 3000 / 8
+    assert all(f"_bucket={bucket}/" in f for f in part.inputFiles())
+    assert {r["value"] for r in part.where("id = 7").collect()} == {"y"}
+
+
 def test_redemption_and_session_streams(spark):
     schema = "attempt_id int, code string, attempted_at timestamp"
     ts = lambda s: F.timestamp_seconds(F.lit(s))
