@@ -28,19 +28,19 @@ aside.  Ties are settled by count, then by the phrase's UTF-8 bytes.  Arithmetic
 is in 38-digit decimals, exact for counts below 10 to the 16th.
 """
 
-import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matterlake.llm.blocks import small_batches
+from matterlake.llm.blocks import mix, small_batches
 from matterlake.llm.columns import only, text_or_empty
 from matterlake.plans.skew import top_per_group
 from matterlake.plans.storage import written
@@ -52,13 +52,16 @@ SCALE = 1_000_000
 COVERED_PERCENT = 50
 UNKNOWN = "und"
 
-# What parts pieces, and what parts words in them (fixed by the definition).
-PIECE_ENDS = re.compile(rb"[.,;:!?\n-\r]")
+# What parts pieces (fixed by the definition); the first stands for all.
+PIECE_ENDS = b",.;:!?\n\x0b\x0c\r"
+END = PIECE_ENDS[:1]
+_UPPER = bytes(range(0x41, 0x5B))
+_PLAIN = bytes.maketrans(PIECE_ENDS + _UPPER, END * len(PIECE_ENDS) + _UPPER.lower())
 
-# Distinct phrases that a task holds before it sends its sums.
-HELD = 300_000
-# Answers of the filters that a task remembers.
-REMEMBERED = 500_000
+# Words of a language that a task holds before it sends its sums.
+HELD = 4_000_000
+# Different words of a language that a task numbers before it starts anew.
+VOCABULARY = 1_000_000
 # No filter is larger (16 MiB); a fuller one lets more through.
 MOST_BITS = 1 << 27
 BITS_PER_KEY = 12
@@ -69,25 +72,41 @@ COUNTS = "lang string, phrase string, a long"
 # The row of a language's total among the counts; no phrase is empty.
 TOTAL = ""
 
+_SIDE = np.uint64(0x9E3779B97F4A7C15)
 
-class Bloom:
-    """A set of byte strings that may claim a little more than it holds."""
 
-    def __init__(self, bits: bytes):
-        self.bits, self.mask = bits, 8 * len(bits) - 1
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
 
-    def __contains__(self, key: bytes) -> bool:
-        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in probes(key, self.mask))
+def keys_of(lang: np.uint64, *words: np.ndarray) -> np.ndarray:
+    """One number per phrase from the hashes of its words, in order."""
+    key = np.full(len(words[0]), lang, np.uint64)
+    for word in words:
+        key = mix(key * _SIDE + word)
+    return key
 
 
-def probes(key: bytes, mask: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    first, step = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 1
-    return [(first + i * step) & mask for i in range(PROBES)]
+class Bloom:
+    """A set of keys that may claim a little more than it holds."""
 
+    def __init__(self, bits: bytes):
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.mask = np.uint64(8 * len(bits) - 1)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        left = np.arange(len(keys))
+        for i in range(PROBES):
+            at = _probe(keys[left], i, self.mask)
+            left = left[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7))) & 1 > 0]
+        found = np.zeros(len(keys), bool)
+        found[left] = True
+        return found
 
-def _key(lang: bytes, phrase: bytes) -> bytes:
-    return lang + b"\0" + phrase
+
+def _probe(keys: np.ndarray, i: int, mask: np.uint64) -> np.ndarray:
+    step = mix(keys ^ _SIDE) | np.uint64(1)
+    return (keys + np.uint64(i) * step) & mask
 
 
 def filter_of(phrases: DataFrame, most_bits: int = MOST_BITS) -> bytes:
@@ -104,13 +123,23 @@ def filter_of(phrases: DataFrame, most_bits: int = MOST_BITS) -> bytes:
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at: list[int] = []
-            for lang, phrase in zip(
-                batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True
-            ):
-                at += probes(_key(lang.encode(), phrase.encode()), size - 1)
-            p = np.array(at, np.int64)
-            np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+            langs = batch["lang"].to_pylist()
+            split = [p.encode().split(b" ") for p in batch["phrase"].to_pylist()]
+            for lang in set(langs):
+                for words in {len(s) for s in split}:
+                    own = [
+                        s
+                        for s, x in zip(split, langs, strict=True)
+                        if x == lang and len(s) == words
+                    ]
+                    hashed = [
+                        np.array([_hash(s[i]) for s in own], np.uint64) for i in range(words)
+                    ]
+                    keys = keys_of(np.uint64(_hash(lang.encode())), *hashed)
+                    for i in range(PROBES):
+                        at = _probe(keys, i, np.uint64(size - 1))
+                        bit = np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8))
+                        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), bit)
         chunks = bits.reshape(-1, _CHUNK // 8)
         for i in np.flatnonzero(chunks.any(axis=1)).tolist():
             yield pa.record_batch([pa.array([i]), pa.array([chunks[i].tobytes()])], ["chunk", "bits"])
@@ -135,134 +164,171 @@ def filter_of(phrases: DataFrame, most_bits: int = MOST_BITS) -> bytes:
     return bytes(out)
 
 
-def piece_words(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, ``A`` to ``Z`` in lower case."""
-    for piece in PIECE_ENDS.split(text.encode().lower()):
-        words = piece.split()
-        if words:
-            yield words
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, ``A`` to ``Z`` in lower case, ``END`` between pieces.
+
+    What ends a piece is part of no word, so one such mark can stand for all.
+    """
+    return text.encode().translate(_PLAIN).replace(END, b" " + END + b" ").split()
+
+
+class Held:
+    """Words of one language, numbered in the order in which they came."""
+
+    def __init__(self, lang: str):
+        self.lang = lang
+        self.key = np.uint64(_hash(lang.encode()))
+        self.numbers: defaultdict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.numbers[END]  # noqa: B018  (number 0)
+        self.parts: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, text: str) -> None:
+        words = [*words_of(text), END]
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.n += len(words)
+
+    def hashes(self) -> np.ndarray:
+        return np.array([_hash(w) for w in self.numbers], np.uint64)
+
+    def rows(self, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        """(lang, phrase, a) of phrases given as one column of numbers per word."""
+        words = pa.array(list(self.numbers), pa.binary()).cast(pa.string())
+        parts = [words.take(pa.array(c)) for c in columns]
+        phrases = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
+        lang = pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int32)))
+        return pa.record_batch(
+            [lang, phrases, pa.array(counts.astype(np.int64))], ["lang", "phrase", "a"]
+        )
 
 
-# Makes, in a task, the test of which phrases of a language are to be sent.
-Needed = Callable[[], Callable[[bytes, tuple[bytes, ...]], bool]]
+# Sums the phrases of what is held: columns of word numbers, and their counts.
+Summed = Callable[[Held, np.ndarray], tuple[list[np.ndarray], np.ndarray]]
+# Rows that leave a task in one batch.
+_SENT = 100_000
 
 
-def _counts(docs: DataFrame, size: int, needed: Needed | None = None) -> DataFrame:
-    """Occurrences of all needed phrases of ``size`` words: (lang, phrase, a).
+def _counts(docs: DataFrame, make: Callable[[], Summed], totals: bool = False) -> DataFrame:
+    """Occurrences of phrases: (lang, phrase, a), summed in the tasks first.
 
-    With ``size`` 1 a language's total comes too, as the phrase ``TOTAL``.
+    With ``totals`` a language's words in all come too, as the phrase ``TOTAL``.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        wanted = needed() if needed else None
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                code = lang.encode()
-                kept = [
-                    (b" ".join(p) if size > 1 else p, n)
-                    for p, n in counts.items()
-                    if wanted is None or wanted(code, p)
-                ]
-                if kept:
-                    phrases, ns = zip(*kept, strict=True)
-                    yield pa.record_batch(
-                        [
-                            pa.array([lang] * len(kept), pa.string()),
-                            pa.array(phrases, pa.binary()).cast(pa.string()),
-                            pa.array(ns, pa.int64()),
-                        ],
-                        ["lang", "phrase", "a"],
-                    )
-            held.clear()
+        summed = make()
+        langs: dict[str, Held] = {}
+
+        def sent(held: Held) -> Iterator[pa.RecordBatch]:
+            tokens = np.concatenate(held.parts)
+            held.parts, held.n = [], 0
+            if totals:
+                n = int(np.count_nonzero(tokens))
+                yield pa.record_batch(
+                    [pa.array([held.lang]), pa.array([TOTAL]), pa.array([n], pa.int64())],
+                    ["lang", "phrase", "a"],
+                )
+            columns, counts = summed(held, tokens)
+            for at in range(0, len(counts), _SENT):
+                cut = slice(at, at + _SENT)
+                yield held.rows([c[cut] for c in columns], counts[cut])
+            if len(held.numbers) > VOCABULARY:
+                del langs[held.lang]
 
         for batch in batches:
             for lang, text in zip(
                 batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True
             ):
-                counts = held.setdefault(lang, Counter())
-                for words in piece_words(text):
-                    if size == 1:
-                        counts.update(words)
-                        counts[b""] += len(words)
-                    else:
-                        counts.update(zip(*[words[i:] for i in range(size)]))  # noqa: B905
-                    if len(counts) > HELD:
-                        yield from sent()
-                        counts = held.setdefault(lang, Counter())
-            if sum(map(len, held.values())) > HELD:
-                yield from sent()
-        yield from sent()
+                if lang not in langs:
+                    langs[lang] = Held(lang)
+                held = langs[lang]
+                held.add(text)
+                if held.n > HELD:
+                    yield from sent(held)
+            # Many languages share what a task may hold.
+            while sum(h.n for h in langs.values()) > HELD:
+                yield from sent(max(langs.values(), key=lambda h: h.n))
+        for held in list(langs.values()):
+            if held.n:
+                yield from sent(held)
 
     sums = docs.mapInArrow(run, COUNTS)
     return sums.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def _shipped(docs: DataFrame, bits: bytes):
-    """A filter as broadcast variable, its size bounded by ``MOST_BITS``."""
-    return docs.sparkSession.sparkContext.broadcast(bits)
+def _words() -> Summed:
+    def summed(held: Held, tokens: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        counts = np.bincount(tokens, minlength=1)
+        counts[0] = 0
+        found = np.flatnonzero(counts)
+        return [found.astype(np.int32)], counts[found]
 
+    return summed
 
-def _remembering(ask: Callable[[bytes], int]) -> Callable[[bytes], int]:
-    known: dict[bytes, int] = {}
 
-    def answer(key: bytes) -> int:
-        found = known.get(key)
-        if found is None:
-            if len(known) > REMEMBERED:
-                known.clear()
-            found = known[key] = ask(key)
-        return found
+def _summed_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
+    key, counts = np.unique(first.astype(np.int64) << 32 | second, return_counts=True)
+    return (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), counts
 
-    return answer
+
+def _shipped(docs: DataFrame, bits: bytes):
+    """A filter as broadcast variable, its size bounded by ``MOST_BITS``."""
+    return docs.sparkSession.sparkContext.broadcast(bits)
 
 
-def _frequent_pairs(words) -> Needed:
+def _frequent_pairs(words) -> Callable[[], Summed]:
     """Phrases of two words that are both in the filter ``words``."""
 
-    def make():
+    def make() -> Summed:
         bloom = Bloom(words.value)
-        frequent = _remembering(bloom.__contains__)
-        return lambda lang, p: frequent(_key(lang, p[0])) and frequent(_key(lang, p[1]))
+
+        def summed(held: Held, tokens: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+            frequent = bloom.holds(keys_of(held.key, held.hashes()))
+            frequent[0] = False
+            usable = frequent[tokens]
+            at = np.flatnonzero(usable[:-1] & usable[1:])
+            first, second, counts = _summed_pairs(tokens[at], tokens[at + 1])
+            return [first, second], counts
+
+        return summed
 
     return make
 
 
-def _grown(pairs, rounds: list[tuple]) -> Needed:
+def _grown(pairs, rounds: list[tuple]) -> Callable[[], Summed]:
     """Phrases of three words that the last round grows and none before did.
 
     ``pairs`` holds all phrases of two words that are frequent enough; a round
     is its filters of prefixes to grow and of phrases to be covered.
     """
 
-    def make():
+    def make() -> Summed:
         every = Bloom(pairs.value)
         filters = [(Bloom(g.value), Bloom(c.value)) for g, c in rounds]
-        last = len(filters) - 1
-
-        def ask(key: bytes) -> int:
-            # First round (counted from 1) as prefix, and as rest; 0: none.
-            if key not in every:
-                return -1
-            prefix = next((i + 1 for i, (g, _) in enumerate(filters) if key in g), 0)
-            rest = next((i + 1 for i, (_, c) in enumerate(filters) if key in c), 0)
-            return prefix * (last + 2) + rest
-
-        asked = _remembering(ask)
-
-        def wanted(lang: bytes, p: tuple[bytes, ...]) -> bool:
-            prefix = asked(_key(lang, b" ".join(p[:2])))
-            if prefix < 0:
-                return False
-            rest = asked(_key(lang, b" ".join(p[1:])))
-            if rest < 0:
-                return False
-            rounds_met = [r for r in (prefix // (last + 2), rest % (last + 2)) if r]
-            return bool(rounds_met) and min(rounds_met) == last + 1
-
-        return wanted
+
+        def summed(held: Held, tokens: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+            hashes = held.hashes()
+            inside = tokens != 0
+            at = np.flatnonzero(inside[:-1] & inside[1:])
+            keys = keys_of(held.key, hashes[tokens[at]], hashes[tokens[at + 1]])
+            known = every.holds(keys)
+            at, keys = at[known], keys[known]
+            # Two such phrases, one word apart, make one of three words.
+            next_ = np.flatnonzero(np.diff(at) == 1)
+            prefix, rest, at = keys[next_], keys[next_ + 1], at[next_]
+            for grow, cover in filters[:-1]:
+                left = ~(grow.holds(prefix) | cover.holds(rest))
+                prefix, rest, at = prefix[left], rest[left], at[left]
+            grow, cover = filters[-1]
+            at = at[grow.holds(prefix) | cover.holds(rest)]
+            first, second, _ = _summed_pairs(tokens[at], tokens[at + 1])
+            pair = first.astype(np.int64) << 32 | second
+            own = tokens[at].astype(np.int64) << 32 | tokens[at + 1]
+            place, third, counts = _summed_pairs(np.searchsorted(pair, own), tokens[at + 2])
+            return [first[place], second[place], third], counts
+
+        return summed
 
     return make
 
@@ -368,12 +434,12 @@ def mine(
         F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), text_or_empty().alias("text")
     )
     kept = (F.col("a") >= least) | (F.col("phrase") == TOTAL)
-    counted = written(_counts(texts, 1).where(kept), "words")
+    counted = written(_counts(texts, _words, totals=True).where(kept), "words")
     words = counted.where(F.col("phrase") != TOTAL)
     totals = counted.where(F.col("phrase") == TOTAL).select("lang", F.col("a").alias("n"))
 
     frequent = _shipped(docs, filter_of(words))
-    two = _counts(texts, 2, _frequent_pairs(frequent)).where(F.col("a") >= least)
+    two = _counts(texts, _frequent_pairs(frequent)).where(F.col("a") >= least)
     pairs = written(_scored_pairs(written(two, "pairs"), words), "scored-pairs")
     all_pairs = _shipped(docs, filter_of(pairs))
 
@@ -406,7 +472,7 @@ def mine(
                 _shipped(docs, filter_of(fresh("score"))),
             )
         )
-        three = _counts(texts, 3, _grown(all_pairs, rounds)).where(F.col("a") >= least)
+        three = _counts(texts, _grown(all_pairs, rounds)).where(F.col("a") >= least)
         scored = written(
             _scored_triples(written(three, "triples"), words, pairs), "scored-triples"
         )

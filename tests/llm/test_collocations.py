@@ -85,7 +85,7 @@ def test_covered_phrases_lower_the_level(spark, monkeypatch):
 def test_small_filters_and_tables_change_nothing(spark, monkeypatch):
     rows = rows_of(200, seed=4)
     monkeypatch.setattr(collocations, "HELD", 7)
-    monkeypatch.setattr(collocations, "REMEMBERED", 3)
+    monkeypatch.setattr(collocations, "VOCABULARY", 20)
     monkeypatch.setattr(collocations, "PROBES", 1)
     assert mined(spark, rows, most=10, least=3) == plain(rows, 10, 3)
 
