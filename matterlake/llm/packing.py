@@ -46,7 +46,7 @@ CAPACITY = 2048
 BINS = 1024
 SHARD_TOKENS = 1 << 21
 # Runs of letters whose ids a worker process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 # Runs that are looked up together.
 BLOCK_WORDS = 50_000
 
