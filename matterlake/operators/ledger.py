@@ -3,9 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matterlake import schemas as S
 from matterlake.functions import temporal as M
-from matterlake.functions import text as X
 from matterlake.plans.skew import top_per_group
 
 _RANK = {"pending": 0, "running": 1}
@@ -54,7 +52,7 @@ def ledger_state(events: DataFrame) -> DataFrame:
         .alias("duration_ms"),
         F.col("_last.positions_extracted").alias("positions_extracted"),
         F.col("_last.chunks_embedded").alias("chunks_embedded"),
-        X.head(F.col("_last.error_message"), S.ERROR_CHARS).alias("error_message"),
+        F.col("_last.error_message").alias("error_message"),
     )
 
 

@@ -5,7 +5,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matterlake import schemas as S
 from matterlake.functions import coerce as C
 from matterlake.functions import text as X
 from matterlake.plans.skew import HOT_ROWS, top_per_group, with_neighbours
@@ -228,16 +227,18 @@ def matter_positions(matters: DataFrame, positions: DataFrame) -> DataFrame:
     )
 
 
-def normalise_positions(raw: DataFrame) -> DataFrame:
-    """Extractor output forced into the stored shape; other columns stay."""
+def normalise_positions(raw: DataFrame, excerpt_chars: int | None = None) -> DataFrame:
+    """Extractor output forced into the stored shape; other columns stay.
+
+    ``excerpt_chars`` cuts longer excerpts.
+    """
+    excerpt = F.coalesce(F.col("source_chunk_text"), F.lit(""))
     shaped: dict[str, Column] = {
         "clause_type": F.coalesce(F.col("clause_type"), F.lit("other")),
         "value": C.json_value(F.col("value")),
         "status": C.position_status(F.col("status")),
         "party_role": C.party_role(F.col("party_role")),
-        "source_chunk_text": X.head(
-            F.coalesce(F.col("source_chunk_text"), F.lit("")), S.EXCERPT_CHARS
-        ),
+        "source_chunk_text": excerpt if excerpt_chars is None else X.head(excerpt, excerpt_chars),
         "confidence": C.clamp_confidence(F.col("confidence")),
     }
     return raw.withColumns(shaped)

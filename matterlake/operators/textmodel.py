@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matterlake import schemas as S
+from matterlake.functions import mentions
 from matterlake.functions import text as X
 from matterlake.functions.chunking import chunk_text
 from matterlake.functions.models import EmbedFn, ExtractFn, embed_batch
@@ -32,6 +33,10 @@ _POSITION_FIELDS = (
     "confidence",
 )
 RULES_MODEL = "rules"
+_MENTIONS = "array<struct<rule:int,mention:string,excerpt:string>>"
+# Characters of an excerpt around the start of its mention.
+EXCERPT_BEFORE = 100
+EXCERPT_AFTER = 200
 
 
 def _chunks_of(lossy: bool):
@@ -105,46 +110,50 @@ def default_rules() -> dict[str, str]:
 
 
 def with_rule_positions(
-    docs: DataFrame, content: str, rules: Mapping[str, str]
+    docs: DataFrame,
+    content: str,
+    rules: Mapping[str, str],
+    first_only: bool = False,
+    before: int = EXCERPT_BEFORE,
+    after: int = EXCERPT_AFTER,
 ) -> DataFrame:
-    """Adds ``positions``: one per clause whose pattern occurs as a word.
+    """Adds ``positions``: one per mention of a clause, in the order of places.
 
-    Stays in the JVM.  Each pattern is one linear search of the text (the place
-    is computed once, in a projection of its own); the mention and the excerpt
-    are read around the place.
+    A mention is a match of the clause's pattern as a word; mentions of one
+    clause do not overlap, those of different clauses may.  With ``first_only``
+    a clause gives its first mention, in the order of the rules.  Null and empty
+    texts have none.  All rules are matched in one pass over the text.
     """
-    text = F.col(content)
-    before, after = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-    placed = docs.select(
-        "*",
-        *[
-            F.regexp_instr(text, F.lit(f"(?i){before}(?:{p}){after}")).alias(f"_at{i}")
-            for i, p in enumerate(rules.values())
-        ],
-    )
-    found = []
-    for i, (clause, pattern) in enumerate(rules.items()):
-        at = F.col(f"_at{i}")
-        mention = F.regexp_extract(
-            F.substring(text, at, F.length(text)), f"(?i)^(?:{pattern}){after}", 0
-        )
-        position = F.struct(
-            F.lit(clause).alias("clause_type"),
-            F.to_json(F.struct(mention.alias("mention"))).alias("value"),
+    find = _mention_finder(list(rules.values()), first_only, before, after)
+    clauses = F.array(*[F.lit(c) for c in rules])
+    positions = F.transform(
+        find(F.coalesce(F.col(content), F.lit(""))),
+        lambda m: F.struct(
+            F.element_at(clauses, m["rule"]).alias("clause_type"),
+            F.to_json(F.struct(m["mention"].alias("mention"))).alias("value"),
             F.lit("proposed").alias("status"),
             F.lit(None).cast("string").alias("counterparty_name"),
             F.lit("neutral").alias("party_role"),
-            F.substring(text, F.greatest(F.lit(1), at - 100), F.lit(300)).alias(
-                "source_chunk_text"
-            ),
+            m["excerpt"].alias("source_chunk_text"),
             F.lit("0.5").alias("confidence"),
-        )
-        found.append(F.when(at > 0, position))
-    none = F.array().cast(f"array<{_POSITION}>")
-    return placed.select(
-        *docs.columns,
-        F.coalesce(F.array_compact(F.array(*found)), none).alias("positions"),
+        ),
     )
+    return docs.withColumn("positions", positions.cast(f"array<{_POSITION}>"))
+
+
+def _mention_finder(patterns: list[str], first_only: bool, before: int, after: int):
+    rule = mentions.compiled(patterns)
+
+    @F.pandas_udf(_MENTIONS)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                places = rule.first_places(text) if first_only else rule.places(text)
+                out.append(mentions.excerpts(text, places, before, after, apart=not first_only))
+            yield pd.Series(out, dtype=object)
+
+    return find
 
 
 def _extract_with(extract_fn: ExtractFn):
@@ -178,16 +187,20 @@ def extract_positions(
     content: str = "content",
     context: Mapping[str, str] | None = None,
     rules: Mapping[str, str] | None = None,
+    first_only: bool = False,
 ) -> DataFrame:
     """One row per document with ``positions``, token usage and ``error``.
 
     ``extract_fn`` gets the document text after its known context (columns
     named in ``context``: matter, client, side, kind).  Without it the rules
-    run natively.  The content itself is not carried on.
+    find every mention, or the first of each clause.  The content itself is not
+    carried on.
     """
     others = [F.col(c) for c in docs.columns if c != content]
     if extract_fn is None:
-        return with_rule_positions(docs, content, rules or default_rules()).select(
+        return with_rule_positions(
+            docs, content, rules or default_rules(), first_only
+        ).select(
             *others,
             "positions",
             X.approx_tokens(F.col(content)).alias("input_tokens"),
@@ -223,3 +236,14 @@ def exploded_positions(extracted: DataFrame) -> DataFrame:
         .where(F.col("seq").isNotNull())
         .select(*others, "seq", "_p.*")
     )
+
+
+def extraction_errors(extracted: DataFrame) -> DataFrame:
+    """The documents whose extraction failed, with ``error``.
+
+    What ``exploded_positions`` leaves out: a document without positions is in
+    neither, a failed one is here.
+    """
+    return extracted.where(F.col("error").isNotNull()).drop(
+        "positions", "input_tokens", "output_tokens"
+    )

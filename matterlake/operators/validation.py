@@ -1,8 +1,8 @@
 """Constraints as data: every broken rule of a row becomes a reason."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from matterlake import schemas as S
@@ -165,6 +165,26 @@ def search_rules():
     return rules(required("query"), length_between("query", 3))
 
 
+# The rules of every table and feed by name.
+RULE_SETS: dict[str, Callable[[], dict[str, Column]]] = {
+    "firms": firm_rules,
+    "firm_users": firm_user_rules,
+    "matters": matter_rules,
+    "positions": position_rules,
+    "extraction_jobs": job_rules,
+    "document_handoffs": handoff_rules,
+    "audit_log": audit_rules,
+    "uploads": upload_rules,
+    "notes": note_rules,
+    "signals": signal_rules,
+    "signal_updates": lambda: signal_rules(update=True),
+    "asserts": assert_rules,
+    "edits": edit_rules,
+    "drafts": draft_rules,
+    "searches": search_rules,
+}
+
+
 def with_reasons(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """Adds ``reasons``: the rules the row breaks, in rule order."""
     reasons = [F.when(~ok, F.lit(reason)) for reason, ok in checks.items()]
@@ -180,6 +200,43 @@ def validate(
     return valid, judged.where(F.size("reasons") > 0)
 
 
+def write_judged(
+    df: DataFrame, checks: Mapping[str, Column], path: str
+) -> dict[str, int]:
+    """Store all rows with ``reasons``, apart by ``valid``; count while writing.
+
+    Returns the rows (under ``rows``) and, per reason, the rows that break it.
+    The table is read and judged once: the counts are observed on the way to the
+    files, and nothing but them comes to the driver.  Read both sides with
+    ``judged_rows``.
+    """
+    seen = Observation()
+    counts = [
+        F.count_if(F.array_contains("reasons", reason)).alias(f"_{i}")
+        for i, reason in enumerate(checks)
+    ]
+    (
+        with_reasons(df, checks)
+        .observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+        .withColumn("valid", F.size("reasons") == 0)
+        .write.partitionBy("valid")
+        .parquet(path)
+    )
+    found = seen.get
+    named = {reason: found[f"_{i}"] for i, reason in enumerate(checks)}
+    return {"rows": found["rows"], **named}
+
+
+def judged_rows(df: DataFrame, path: str, valid: bool) -> DataFrame:
+    """The stored rows that are (not) valid; ``df`` gives the columns."""
+    schema = df.withColumns(
+        {"reasons": F.array().cast("array<string>"), "valid": F.lit(True)}
+    ).schema
+    rows = df.sparkSession.read.schema(schema).parquet(path)
+    kept = rows.where(F.col("valid") == valid).drop("valid")
+    return kept.drop("reasons") if valid else kept
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values that occur more than once, with their number of rows."""
     return (

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -487,3 +487,50 @@ def match_matter_memory(
         .orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc())
         .limit(k)
     )
+
+
+# The table function in SQL: a parameter that is null does not filter.  The rank
+# filter stands on the window, so a task keeps k rows before the shuffle.
+_MATCH_FUNCTION = """
+CREATE OR REPLACE TEMPORARY FUNCTION {name}(
+  of_firm STRING, asked ARRAY<DOUBLE>, k INT DEFAULT {k}, of_matter STRING DEFAULT NULL)
+RETURNS TABLE(id STRING, matter_id STRING, content STRING, memory_type STRING,
+  source_document_id STRING, embedding_model STRING, created_at TIMESTAMP_NTZ,
+  distance DOUBLE)
+RETURN
+  SELECT id, matter_id, content, memory_type, source_document_id, embedding_model,
+         created_at, distance
+  FROM (SELECT *, row_number() OVER (
+                    PARTITION BY firm_id ORDER BY distance ASC NULLS LAST, id) AS place
+        FROM (SELECT *, {distance} AS distance FROM {view}
+              WHERE firm_id = of_firm AND embedding IS NOT NULL
+                AND (of_matter IS NULL OR matter_id = of_matter)))
+  WHERE place <= k
+"""
+_DOT = (
+    "aggregate(zip_with({u}, {v}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), "
+    "0D, (total, x) -> total + x)"
+)
+
+
+def register_match_function(
+    memory: DataFrame,
+    name: str = "match_matter_memory",
+    view: str = "matter_memory",
+    k: int = S.SEARCH_DEFAULT_K,
+) -> None:
+    """Make the search a table function of the session's SQL.
+
+    ``SELECT * FROM match_matter_memory('firm', array(..), 8, 'matter')`` gives
+    the eight columns of the single-query form, in any order; the last two
+    arguments may be left out.  ``memory`` becomes the temporary view ``view``;
+    columns it lacks are null.
+    """
+    spark = memory.sparkSession
+    kinds = {"source_document_id": "string", "embedding_model": "string", "created_at": "timestamp_ntz"}
+    missing = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in memory.columns}
+    memory.withColumns(missing).createOrReplaceTempView(view)
+    norms = " * ".join(f"sqrt({_DOT.format(u=c, v=c)})" for c in ("embedding", "asked"))
+    both = _DOT.format(u="embedding", v="asked")
+    distance = f"CASE WHEN size(embedding) = size(asked) THEN 1D - try_divide({both}, {norms}) END"
+    spark.sql(_MATCH_FUNCTION.format(name=name, view=view, k=k, distance=distance))

@@ -205,7 +205,7 @@ def run_intake(
             ).alias("_bad"),
             "chunks_embedded",
             "positions_extracted",
-            X.head(error, S.ERROR_CHARS).alias("error_message"),
+            error.alias("error_message"),
         )
     )
     ended = F.coalesce(F.col("_bad"), F.lit("completed"))

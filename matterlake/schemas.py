@@ -251,8 +251,6 @@ CHUNK_OVERLAP_CHARS = 200
 SENTENCE_PACK_CHARS = 3000
 CHARS_PER_TOKEN = 4
 MIN_CONTENT_CHARS = 50
-EXCERPT_CHARS = 2000
-ERROR_CHARS = 2000
 EMBED_BATCH = 100
 EMBED_ATTEMPTS = 3
 SEARCH_DEFAULT_K = 8

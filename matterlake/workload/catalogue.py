@@ -4,6 +4,7 @@ from matterlake.workload import (  # noqa: F401
     q_documents,
     q_matters,
     q_positions,
+    q_rules,
     q_streams,
     registry,
 )

@@ -246,6 +246,116 @@ FROM {supplier}
 """
 
 
+# Rows of every table and feed that has rules, some of which break them.
+SQL["raw_firms"] = """
+SELECT CAST(s_suppkey AS STRING) AS id,
+       CASE WHEN s_suppkey % 7 > 0 THEN s_name END AS name,
+       CASE s_suppkey % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'closed'
+                          WHEN 2 THEN 'archived' WHEN 3 THEN 'suspended' END AS status
+FROM {supplier}
+"""
+
+SQL["raw_firm_users"] = """
+SELECT CAST(event_id AS STRING) AS id,
+       CASE WHEN event_id % 11 > 0 THEN 'u' || CAST(user_id AS STRING) END AS user_id,
+       CASE WHEN event_id % 13 > 0 THEN 'f1' END AS firm_id,
+       CASE event_type WHEN 'signup' THEN 'owner' WHEN 'view' THEN 'admin'
+                       WHEN 'purchase' THEN 'member' WHEN 'error' THEN 'guest' END AS role,
+       CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'removed'
+                         WHEN 2 THEN 'gone' ELSE 'suspended' END AS status
+FROM {events}
+"""
+
+SQL["raw_matters"] = """
+SELECT 'm' || CAST(c_custkey AS STRING) AS id,
+       CASE c_custkey % 4 WHEN 0 THEN 'settled' WHEN 1 THEN 'Settled'
+                          WHEN 2 THEN 'pre_draft' END AS stage,
+       CASE c_custkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'secret' END AS privilege_scope
+FROM {customer}
+"""
+
+SQL["raw_jobs"] = """
+SELECT CASE WHEN doc_id % 17 > 0 THEN CAST(doc_id AS STRING) END AS id,
+       CAST(doc_id AS STRING) AS row_name,
+       CASE WHEN doc_id % 19 > 0 THEN 'f' END AS firm_id,
+       CASE WHEN doc_id % 23 > 0 THEN 'd' || CAST(doc_id AS STRING) END AS document_id,
+       CASE WHEN toxic = 1 THEN 'lost' WHEN quality = 1 THEN 'completed' END AS status,
+       CASE doc_id % 3 WHEN 0 THEN 'tool_call' WHEN 1 THEN 'by hand'
+                       ELSE 'document_upload' END AS triggered_by
+FROM {labels}
+"""
+
+SQL["raw_handoffs"] = """
+SELECT CAST(o_orderkey AS STRING) AS id,
+       CASE WHEN o_orderkey % 5 > 0 THEN 'f' END AS firm_id,
+       CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS doc_title,
+       CAST(o_orderkey % 9 AS INT) - 1 AS paragraph_count,
+       CAST(o_custkey % 11 AS INT) - 1 AS word_count,
+       CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS summary,
+       CASE WHEN o_orderkey % 2 > 0 THEN CAST(o_custkey % 4 AS INT) - 2 END AS turn_count
+FROM {orders}
+"""
+
+SQL["raw_audit"] = """
+SELECT CAST(event_id AS STRING) AS id,
+       CASE WHEN event_id % 6 > 0 THEN 'f' END AS firm_id,
+       CASE WHEN event_id % 5 > 0 THEN event_type END AS action,
+       CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'denied'
+                       WHEN 'signup' THEN 'success' WHEN 'purchase' THEN 'paid' END AS result
+FROM {events}
+"""
+
+SQL["raw_notes"] = """
+SELECT CAST(doc_id AS STRING) AS id,
+       CASE WHEN doc_id % 8 > 0 THEN 'm' END AS matter_id,
+       CASE WHEN doc_id % 9 > 0 THEN text END AS note,
+       CASE doc_id % 4 WHEN 0 THEN 'decision' WHEN 1 THEN 'guess' END AS note_type,
+       CASE doc_id % 3 WHEN 0 THEN 'matter' WHEN 1 THEN 'world' END AS scope
+FROM {documents}
+"""
+
+SQL["raw_signals"] = """
+SELECT CAST(doc_id AS STRING) AS id,
+       CASE WHEN doc_id % 8 > 0 THEN text END AS doc_title,
+       CAST(doc_id % 6 AS INT) - 1 AS paragraph_count,
+       CASE WHEN doc_id % 5 > 0 THEN CAST(n_chars AS INT) - 100 END AS word_count,
+       CASE WHEN doc_id % 7 > 0 THEN text END AS summary,
+       CASE WHEN doc_id % 2 > 0 THEN CAST(doc_id % 4 AS INT) - 1 END AS turn_count
+FROM {documents}
+"""
+
+SQL["raw_asserts"] = """
+SELECT CAST(event_id AS STRING) AS id,
+       CASE WHEN event_id % 6 > 0 THEN 'm' END AS matter_id,
+       CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN event_type ELSE 'fees' END AS clause_type,
+       CASE WHEN event_id % 7 > 0 THEN props END AS value,
+       CASE event_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'shut' WHEN 2 THEN 'settled' END
+         AS status,
+       CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Acme' END AS counterparty_name,
+       CASE event_id % 8 WHEN 0 THEN 'mutual' WHEN 1 THEN 'nobody' END AS party_role
+FROM {events}
+"""
+
+SQL["raw_edits"] = """
+SELECT CAST(doc_id AS STRING) AS id,
+       CASE WHEN doc_id % 6 > 0 THEN text END AS old_text,
+       CASE WHEN doc_id % 5 > 0 THEN substr(text, 20) END AS new_text
+FROM {documents}
+"""
+
+SQL["raw_drafts"] = """
+SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS id,
+       CASE WHEN conv_id % 6 > 0 THEN text END AS document_text
+FROM {conversations}
+"""
+
+SQL["raw_searches"] = """
+SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS id,
+       CASE WHEN conv_id % 6 > 0 THEN substr(text, 1, CAST(turn AS INT)) END AS query
+FROM {conversations}
+"""
+
+
 def _format(name: str, tables: dict[str, str], ntz: str) -> str:
     return SQL[name].format(ntz=ntz, **tables).strip()
 

@@ -177,6 +177,24 @@ def test_far_cells_are_not_read(spark):
     assert "PartitionFilters: []" not in scan and "INSET" in scan.upper() or "IN (" in scan.upper()
 
 
+def test_table_function_in_sql(spark):
+    rows = _memory(spark)
+    memory = spark.createDataFrame(rows, MEMORY).selectExpr("*", "'t' as content", "'c' as memory_type")
+    VX.register_match_function(memory, name="match_rows", view="rows_of_memory", k=4)
+    q = [3.0, 1.0, 1.0, -1.0, 2.0, 1.0]
+    asked = f"array({', '.join(f'{x}D' for x in q)})"
+    found = spark.sql(f"SELECT * FROM match_rows('f', {asked})")
+    assert len(found.columns) == 8
+    want = _expected(rows, [("q", "f", q, None)], 4)
+    assert {r["id"] for r in found.collect()} == {i for _, _, i in want}
+    # Only k rows of a task are sent.
+    shown = found._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in shown.split("WindowGroupLimit", 1)[1]
+    one = spark.sql(f"SELECT id FROM match_rows('f', {asked}, 2, 'm1') ORDER BY distance")
+    want = _expected(rows, [("q", "f", q, "m1")], 2)
+    assert [r["id"] for r in one.collect()] == [i for _, _, i in want]
+
+
 def test_missing_distances_sort_last(spark):
     memory = spark.createDataFrame(
         [
@@ -207,6 +225,66 @@ def test_rules(spark):
     ]
 
 
+def test_every_mention_is_found(spark):
+    text = "Fees. " + "x" * 400 + " late fees, fees and scope of work; the SCOPE."
+    rules = {"fees": "fees", "late": "late fees", "scope": "scope( of work)?"}
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, content string")
+    found = TM.exploded_positions(TM.extract_positions(docs, rules=rules)).collect()
+    got = [(r["seq"], r["clause_type"], r["value"][12:-2]) for r in found]
+    assert got == [
+        (0, "fees", "Fees"),
+        (1, "late", "late fees"),
+        (2, "fees", "fees"),
+        (3, "fees", "fees"),
+        (4, "scope", "scope of work"),
+        (5, "scope", "SCOPE"),
+    ]
+    # Each excerpt holds its mention; together they repeat next to nothing.
+    assert all(r["value"][12:-2] in r["source_chunk_text"] for r in found)
+    assert sum(len(r["source_chunk_text"]) for r in found) <= len(text) + len("late fees")
+    first = TM.exploded_positions(
+        TM.extract_positions(docs, rules=rules, first_only=True)
+    ).collect()
+    assert [r["value"][12:-2] for r in first] == ["Fees", "late fees", "scope of work"]
+
+
+def test_one_pass_finds_what_each_rule_finds():
+    import random
+    import re
+
+    from matterlake.functions import mentions
+
+    rng = random.Random(8)
+    patterns = ["a b", "b", "a( b)*", "c?", "b a", "B"]
+    rules = mentions.compiled(patterns)
+    for _ in range(300):
+        text = "".join(rng.choice("aAbc  _é.") for _ in range(rng.randrange(30)))
+        want = []
+        for i, p in enumerate(patterns):
+            whole = f"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"
+            want += [
+                (m.start(), m.end(), i)
+                for m in re.finditer(whole, text, re.I | re.A)
+                if m.end() > m.start()
+            ]
+        assert rules.places(text) == sorted(want)
+    assert mentions.compiled([]).places("a") == []
+    # Linear in the text: every word a mention.
+    assert len(mentions.compiled(["fees"]).places("fees " * 100_000)) == 100_000
+
+
+def test_failed_documents_are_rows_of_their_own(spark):
+    def extract(text):
+        if "BOOM" in text:
+            raise ValueError("no answer")
+        return [], 1, 1
+
+    docs = spark.createDataFrame([(1, "fine"), (2, "BOOM")], "id int, content string")
+    extracted = TM.extract_positions(docs, extract)
+    assert TM.exploded_positions(extracted).collect() == []
+    assert [tuple(r) for r in TM.extraction_errors(extracted).collect()] == [(2, "no answer")]
+
+
 def test_intake_keeps_failures_apart(spark):
     long_text = "The parties agree on fees and scope. " * 5
     docs = spark.createDataFrame(

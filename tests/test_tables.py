@@ -314,3 +314,24 @@ def test_ids_are_the_same_on_a_retry(spark):
     ):
         first, again = ({r["id"] for r in make().collect()} for _ in range(2))
         assert first == again and len(first) == 2
+
+
+def test_judged_rows_are_counted_while_written(spark):
+    from matterlake.plans.storage import scratch_path
+
+    rows = spark.createDataFrame(
+        [("m", "a note", "guess", None), (None, "x", "context", "matter"), ("m", "fine", None, None)],
+        "matter_id string, note string, note_type string, scope string",
+    )
+    path = scratch_path(spark, "judged")
+    counts = V.write_judged(rows, V.note_rules(), path)
+    assert counts["rows"] == 3
+    assert {k: n for k, n in counts.items() if n and k != "rows"} == {
+        "matter_id is missing": 1,
+        "note has a bad length": 1,
+        "note_type is not an allowed value": 1,
+    }
+    assert [r["note"] for r in V.judged_rows(rows, path, True).collect()] == ["fine"]
+    bad = {r["note"]: r["reasons"] for r in V.judged_rows(rows, path, False).collect()}
+    assert bad["x"] == ["matter_id is missing", "note has a bad length"]
+    assert set(V.RULE_SETS) >= {"firms", "notes", "searches"}
