@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from matterlake.functions import coerce as C
 from matterlake.functions import text as X
-from matterlake.plans.skew import HOT_ROWS, top_per_group, with_neighbours
+from matterlake.plans.skew import HOT_ROWS, in_order, top_per_group, with_neighbours
 
 KEY = ("firm_id", "matter_id", "clause_type")
 ORDER = ("created_at", "seq", "id")
+# What a table of positions is stored by; a part of the key.
+MATTER = ("firm_id", "matter_id")
 
 
 def supersede(
@@ -52,15 +54,24 @@ def latest(
 
 
 def history(
-    positions: DataFrame, clause_type: str | None = None, hot_rows: int = HOT_ROWS
+    positions: DataFrame,
+    clause_type: str | None = None,
+    hot_rows: int = HOT_ROWS,
+    bucketed: bool = False,
 ) -> DataFrame:
-    """All rows, oldest first within a matter, numbered per key."""
+    """All rows, oldest first within a matter, numbered per key.
+
+    ``version`` is the place within a key.  ``bucketed`` says that the table is
+    stored in buckets of ``MATTER`` (``write_bucketed``): then nothing is
+    shuffled.
+    """
     chosen = positions
     if clause_type is not None:
         chosen = chosen.where(F.col("clause_type") == clause_type)
-    return supersede(chosen, hot_rows=hot_rows).orderBy(
-        "firm_id", "matter_id", *ORDER
-    )
+    linked = supersede(chosen, hot_rows=hot_rows)
+    if bucketed:
+        return linked.sortWithinPartitions(*MATTER, *ORDER)
+    return in_order(linked, MATTER, ORDER)
 
 
 def write_positions(
@@ -160,16 +171,14 @@ def with_status(positions: DataFrame, *statuses: str) -> DataFrame:
 
 def open_positions(positions: DataFrame) -> DataFrame:
     """Current rows under negotiation (``open`` only), by clause."""
-    return position_summary(with_status(positions, "open")).orderBy(
-        "firm_id", "matter_id", "clause_type", "id"
-    )
+    found = position_summary(with_status(positions, "open"))
+    return in_order(found, ("firm_id", "matter_id"), ("clause_type", "id"))
 
 
 def settled_positions(positions: DataFrame) -> DataFrame:
     """Current agreed rows, by clause."""
-    return position_summary(with_status(positions, "settled")).orderBy(
-        "firm_id", "matter_id", "clause_type", "id"
-    )
+    found = position_summary(with_status(positions, "settled"))
+    return in_order(found, ("firm_id", "matter_id"), ("clause_type", "id"))
 
 
 def position_counts(positions: DataFrame) -> DataFrame:

@@ -143,3 +143,11 @@ def top_per_group(
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key together and in ``order``, without a global sort.
+
+    A key with much of the rows may be cut over several tasks, each in order.
+    """
+    return df.hint("rebalance", *keys).sortWithinPartitions(*keys, *order)

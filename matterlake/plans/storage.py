@@ -10,7 +10,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a session in one
-    process, where nothing is set, takes a temporary folder.
+    process (master ``local`` or ``local[..]``, not ``local-cluster``), where
+    nothing is set, takes a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or (
         spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -21,7 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matterlake-"))
         current = spark.sparkContext.getCheckpointDir()

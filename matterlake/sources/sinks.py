@@ -193,11 +193,12 @@ def upsert(
     """Base and changes merged: per key the newest change, else the base row.
 
     ``changes`` carries ``changed_at`` (and an optional ``tie`` column); both
-    stay out of the result unless the base has them.
+    stay out of the result unless the base has them.  Changes of equal time are
+    told apart by all their columns, the larger value first, so a rerun agrees.
     """
     order = [F.col(changed_at).desc_nulls_last()]
-    if tie:
-        order.append(F.col(tie).desc_nulls_last())
+    order += [F.col(c).desc_nulls_last() for c in ([tie] if tie else [])]
+    order += [F.col(c).desc_nulls_last() for c in changes.columns if c not in (changed_at, tie)]
     latest = top_per_group(changes, keys, order, 1).select(*base.columns)
     # A small change feed is broadcast by size, and the base is not shuffled.
     untouched = base.join(latest.select(*keys), list(keys), "left_anti")

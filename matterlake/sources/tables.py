@@ -1,6 +1,6 @@
 """Scans with explicit schemas, always for given tenants."""
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +36,29 @@ def active_matters(matters: DataFrame, n: int | None = None) -> DataFrame:
         return active
     newest = [F.col("last_accessed").desc_nulls_last(), F.col("id").asc()]
     return top_per_group(active, ["firm_id"], newest, n).drop("rank")
+
+
+def write_bucketed(
+    df: DataFrame,
+    name: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    buckets: int,
+    path: str,
+) -> DataFrame:
+    """Store ``df`` as table ``name``, in buckets of ``keys``, each in ``order``.
+
+    Windows and aggregates over ``keys``, or over more columns beside them, read
+    it without a shuffle; so do joins of two tables with the same buckets.  One
+    file per bucket: choose ``buckets`` so that one fits a task.
+    """
+    spark = df.sparkSession
+    (
+        df.repartition(buckets, *keys)
+        .write.bucketBy(buckets, *keys)
+        .sortBy(*keys, *order)
+        .option("path", path)
+        .mode("overwrite")
+        .saveAsTable(name)
+    )
+    return spark.table(name)

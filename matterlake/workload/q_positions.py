@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from matterlake.functions import coerce as C
 from matterlake.operators import counterparties as CP
 from matterlake.operators import positions as P
+from matterlake.plans.storage import scratch_path
 from matterlake.sources import sinks, tables
 from matterlake.workload.registry import query
 
@@ -100,6 +101,44 @@ def position_history(s):
     )
 
 
+def _bucketed(s):
+    """The positions stored in buckets of (firm, matter)."""
+    path = scratch_path(s.spark, "bucketed")
+    name = "positions_" + path[-32:]
+    return tables.write_bucketed(s.positions, name, P.MATTER, P.ORDER, 8, path)
+
+
+@query(
+    "position_history_bucketed",
+    f"""WITH {LINKED}
+    SELECT firm_id, matter_id, clause_type, id, version, superseded_by, created_at
+    FROM linked""",
+    "positions",
+)
+def position_history_bucketed(s):
+    return P.history(_bucketed(s), bucketed=True).select(
+        "firm_id",
+        "matter_id",
+        "clause_type",
+        "id",
+        "version",
+        "superseded_by",
+        "created_at",
+    )
+
+
+@query(
+    "current_positions_bucketed",
+    f"""WITH {LINKED} SELECT firm_id, matter_id, clause_type, id, version FROM linked
+    WHERE superseded_by IS NULL""",
+    "positions",
+)
+def current_positions_bucketed(s):
+    return P.current(P.supersede(_bucketed(s))).select(
+        "firm_id", "matter_id", "clause_type", "id", "version"
+    )
+
+
 @query(
     "position_history_of_clause",
     f"""WITH {LINKED} SELECT matter_id, id, version FROM linked

@@ -50,3 +50,13 @@ def test_every_query_but_two_has_sql():
     missing = set(catalogue.callables()) - set(catalogue.oracles())
     assert missing == {"tighten_edits", "tighten_turns"}
     assert not set(entry_module.oracle_sql()) - set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", ["position_history_bucketed", "current_positions_bucketed"])
+def test_bucketed_windows_shuffle_nothing(spark, name):
+    assert "Exchange" not in plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["position_history", "open_positions", "settled_positions"])
+def test_lists_have_no_global_sort(spark, name):
+    assert "rangepartitioning" not in plan(spark, name)

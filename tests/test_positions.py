@@ -113,7 +113,9 @@ def test_normalise_positions(spark):
         "open",
     )
     assert r["party_role"] is None and r["confidence"] == 1.0
-    assert len(r["source_chunk_text"]) == 2000
+    assert len(r["source_chunk_text"]) == 2500
+    cut = P.normalise_positions(raw, excerpt_chars=2000).first()
+    assert len(cut["source_chunk_text"]) == 2000
 
 
 def test_top_per_group_limits_before_the_shuffle(spark):

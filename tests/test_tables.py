@@ -246,7 +246,7 @@ def test_ledger(spark):
     assert state["j1"]["duration_ms"] == 86_400_000
     assert state["j1"]["positions_extracted"] == 4
     assert state["j2"]["status"] == "failed" and state["j2"]["duration_ms"] == 0
-    assert len(state["j2"]["error_message"]) == 2000
+    assert len(state["j2"]["error_message"]) == 3000
     assert rows(L.job_outcomes(L.ledger_state(events)), "completed", "failed") == [(1, 1)]
 
 
