@@ -94,14 +94,10 @@ def _by_name(documents: DataFrame, matters: DataFrame) -> DataFrame:
         "firm_id", F.col("name").alias("text"), "id", "matter_id", "is_precedent"
     )
     first = F.struct("id", F.coalesce("is_precedent", F.lit(False)).alias("is_precedent"))
-    # Summed before the matters are looked up: copies of a name make one row.
-    summed = stored.groupBy("firm_id", "text", "matter_id").agg(
+    # Copies of a name become one row per matter, in the map tasks already.
+    return _known_matter(stored, matters).groupBy("firm_id", "text", "matter_id").agg(
         F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    known = _known_matter(summed, matters)
-    return known.groupBy("firm_id", "text", "matter_id").agg(
-        F.min("_first").alias("_first"), F.sum("_n").alias("_n")
-    )
 
 
 def _first_documents(documents: DataFrame, matters: DataFrame, k: int) -> DataFrame:

@@ -118,7 +118,7 @@ def test_wildcard_only_name_matches_everything(spark, world):
 @pytest.mark.parametrize("few", [True, False])
 def test_containment_equals_brute_force(spark, monkeypatch, few):
     if not few:
-        monkeypatch.setattr(CT, "SHIPPED_PATTERNS", 0)
+        monkeypatch.setattr(CT, "SHIPPED_PARTS", 0)
     r = random.Random(3)
 
     def text(low, high):
