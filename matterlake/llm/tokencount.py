@@ -33,6 +33,8 @@ from matterlake.llm.blocks import Texts, _powers, cut, map_batches, mix, per_pro
 CHUNK = 1 << 19
 SPLIT = regex.compile(r"(?<=\S)(?=\s)")
 LONG = 256
+# Matches of up to this many letters are looked up by a hash.
+HASHED = 256
 REMEMBERED = 1 << 21
 NEVER = np.int64(1 << 40)
 
@@ -296,6 +298,16 @@ class Machine:
             rest = rest[~mine]
             slot[rest] = (slot[rest] + np.uint64(1)) & mask
 
+    def _counted(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Counts of single matches, given as byte ranges."""
+        size = stop - start
+        counts = np.zeros(len(size), np.int64)
+        short = size <= LONG
+        counts[short] = self._run(data, start[short], size[short])
+        for i in np.flatnonzero(~short):
+            counts[i] = self._run_long(data[start[i] : stop[i]].tobytes())
+        return counts
+
     def count_whole(self, texts: list[str]) -> np.ndarray:
         """Counts of texts without special tokens, each split by itself."""
         joined = "".join(texts)
@@ -316,20 +328,28 @@ class Machine:
         h = mix((sums[stops] - sums[starts]) * inverse[starts])
         h |= h == 0
         found = self._look(h)
-        new = np.flatnonzero(found == 0)
+        # Sums modulo a power of two tell apart what is short: patterned words of
+        # a thousand letters and more can share one.  Wide matches go by bytes.
+        wide = stops - starts > HASHED
+        found[wide] = 0
+        new = np.flatnonzero((found == 0) & ~wide)
+        if len(new) or wide.any():
+            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            place = np.concatenate((np.zeros(1, np.int64), np.cumsum(width)))
         if len(new):
             _, first, where = np.unique(h[new], return_index=True, return_inverse=True)
             at = new[first]
-            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-            place = np.concatenate((np.zeros(1, np.int64), np.cumsum(width)))
-            a, size = place[starts[at]], place[stops[at]] - place[starts[at]]
-            counts = np.zeros(len(at), np.int64)
-            short = size <= LONG
-            counts[short] = self._run(data, a[short], size[short])
-            for i in np.flatnonzero(~short):
-                counts[i] = self._run_long(data[a[i] : a[i] + size[i]].tobytes())
+            counts = self._counted(data, place[starts[at]], place[stops[at]])
             self._remember(h[at], counts)
             found[new] = counts[where]
+        if wide.any():
+            alike: dict[bytes, list[int]] = {}
+            for i in np.flatnonzero(wide).tolist():
+                alike.setdefault(data[place[starts[i]] : place[stops[i]]].tobytes(), []).append(i)
+            at = np.array([same[0] for same in alike.values()])
+            counts = self._counted(data, place[starts[at]], place[stops[at]])
+            for same, n in zip(alike.values(), counts.tolist(), strict=True):
+                found[same] = n
         totals = np.concatenate((np.zeros(1, np.int64), np.cumsum(found)))
         bounds = np.searchsorted(starts, offsets)
         return totals[bounds[1:]] - totals[bounds[:-1]]

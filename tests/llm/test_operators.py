@@ -375,6 +375,21 @@ def test_token_counts(edge, none):
     assert tokencount.token_counts(none, VOCABULARY).count() == 0
 
 
+def test_patterned_words_are_told_apart():
+    """Words that share any polynomial sum modulo a power of two."""
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = []
+    for a, b in ("ab", "01", "on"):
+        bits = [bin(i).count("1") % 2 for i in range(4096)]
+        texts += ["".join((a, b)[x ^ flip] for x in bits) for flip in (0, 1)]
+    texts += texts[::-1]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    machine = tokencount.Machine(open(VOCABULARY, "rb").read())
+    assert machine.count(texts).tolist() == want
+    assert [machine.count([t])[0] for t in texts] == want
+    assert len(set(want)) > 1
+
+
 # -- 7 ------------------------------------------------------------------------
 
 
