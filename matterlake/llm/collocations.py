@@ -60,7 +60,7 @@ _PLAIN = bytes.maketrans(PIECE_ENDS + _UPPER, END * len(PIECE_ENDS) + _UPPER.low
 
 # Words of a language that a task holds before it sends its sums.
 HELD = 4_000_000
-# Different words of a language that a task numbers before it starts anew.
+# Different words that a task numbers, over all languages, before it starts anew.
 VOCABULARY = 1_000_000
 # No filter is larger (16 MiB); a fuller one lets more through.
 MOST_BITS = 1 << 27
@@ -233,8 +233,6 @@ def _counts(docs: DataFrame, make: Callable[[], Summed], totals: bool = False) -
             for at in range(0, len(counts), _SENT):
                 cut = slice(at, at + _SENT)
                 yield held.rows([c[cut] for c in columns], counts[cut])
-            if len(held.numbers) > VOCABULARY:
-                del langs[held.lang]
 
         for batch in batches:
             for lang, text in zip(
@@ -246,9 +244,14 @@ def _counts(docs: DataFrame, make: Callable[[], Summed], totals: bool = False) -
                 held.add(text)
                 if held.n > HELD:
                     yield from sent(held)
-            # Many languages share what a task may hold.
+            # All languages share what a task may hold.
             while sum(h.n for h in langs.values()) > HELD:
                 yield from sent(max(langs.values(), key=lambda h: h.n))
+            if sum(len(h.numbers) for h in langs.values()) > VOCABULARY:
+                for held in langs.values():
+                    if held.n:
+                        yield from sent(held)
+                langs.clear()
         for held in list(langs.values()):
             if held.n:
                 yield from sent(held)
