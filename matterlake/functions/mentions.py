@@ -24,7 +24,7 @@ class Rules:
         found: list[Place] = []
         free = [0] * len(self.single)
         at = 0
-        while met := self.any.search(text, at):
+        while at < len(text) and (met := self.any.search(text, at)):
             start = met.start()
             # The alternation stops where any rule matches; others may, too.
             for i, rule in enumerate(self.single):
