@@ -367,7 +367,8 @@ def test_backfill_limit_and_dry_run(spark):
 
 
 def test_stored_positions_follow_the_queue(spark):
-    text = "The parties agree on fees and scope. " * 3
+    # One mention each: every further one would be a position of its own.
+    text = "The parties agree on fees and scope. " + "Other words follow. " * 3
     docs = spark.createDataFrame(
         [(d, "f", "m", text + d, None) for d in ("late", "soon")],
         "id string, firm_id string, matter_id string, content string, doc_type string",

@@ -19,7 +19,7 @@ JOINS = (
     "supersede_hot_keys vector_topk_blocks"
 ).split()
 LIMITED = (
-    "latest_positions matter_directory_page resolve_by_document_name first_redemptions "
+    "latest_positions matter_directory_page resolve_by_office_id first_redemptions "
     "oldest_pending newest_orders_null_first"
 ).split()
 
