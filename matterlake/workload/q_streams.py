@@ -22,8 +22,10 @@ from matterlake.workload.registry import query
 
 
 def _stream(s, table):
+    # A table may be one file or a folder of files; a stream takes the path of a
+    # single file only as a glob.
     schema = s.base(table).schema
-    return J.file_stream(s.spark, s.sf_dir, schema, pattern=f"{table}.parquet")
+    return J.file_stream(s.spark, f"{s.sf_dir}/{table}.parque[t]", schema)
 
 
 def _drained(s, stream, name):

@@ -8,6 +8,8 @@ from matterlake.plans import deltas
 from matterlake.streaming import handoffs as SH
 from matterlake.streaming import jobs as J
 from matterlake.streaming import supersession as SS
+from matterlake.workload import q_streams
+from matterlake.workload.registry import Source
 
 EVENTS = (
     "id string, firm_id string, matter_id string, clause_type string, "
@@ -224,3 +226,13 @@ def test_late_attempts_redeem_too(spark):
     J.drain_to_table(J.first_redemption_stream(stream, codes).select("code", "attempt_id"), out)
     got = {tuple(r) for r in spark.read.parquet(out).collect()}
     assert got == {("k1", 1), ("k9", 2), ("k8", 3), ("k2", 4)}
+
+
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path):
+    rows = spark.range(20).toDF("doc_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "labels.parquet")
+    s = Source(spark, str(tmp_path))
+    for table in ("documents", "labels"):
+        got = q_streams._drained(s, q_streams._stream(s, table), table)
+        assert sorted(r["doc_id"] for r in got.collect()) == list(range(20))
