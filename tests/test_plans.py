@@ -1,14 +1,18 @@
 """Plans of registered queries: no pair products, pruned scans, early limits."""
 
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from conftest import plan_of
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry_module  # noqa: E402
 
+from matterlake.operators import counterparties as CP  # noqa: E402
+from matterlake.plans.skew import product_join  # noqa: E402
 from matterlake.workload import catalogue  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +64,45 @@ def test_bucketed_windows_shuffle_nothing(spark, name):
 @pytest.mark.parametrize("name", ["position_history", "open_positions", "settled_positions"])
 def test_lists_have_no_global_sort(spark, name):
     assert "rangepartitioning" not in plan(spark, name)
+
+
+def test_product_join_cuts_a_key_with_many_rows_on_both_sides(spark):
+    left = spark.createDataFrame([("k", a) for a in range(40)], "key string, a long")
+    right = spark.createDataFrame([("k", b) for b in range(30)], "key string, b long")
+    counts = left.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
+    joined = product_join(left, right, ["key"], counts, task_rows=100)
+    rows = joined.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == [
+        (a, b) for a in range(40) for b in range(30)
+    ]
+    sizes = Counter(r["part"] for r in rows)
+    assert len(sizes) > 3 and max(sizes.values()) <= 600
+
+
+def test_requests_that_ask_the_same_share_the_work(spark):
+    matters = spark.createDataFrame(
+        [(f"m{i}", "f", "England", '[{"name":"Acme Corp","role":"supplier"}]') for i in range(20)],
+        "id string, firm_id string, governing_law string, parties string",
+    )
+    for c in ("user_id", "client_id", "client_name", "matter_name", "deal_parameters",
+              "context", "stage", "privilege_scope"):
+        matters = matters.withColumn(c, F.lit(None).cast("string"))
+    for c in ("created_at", "last_accessed"):
+        matters = matters.withColumn(c, F.lit(None).cast("timestamp_ntz"))
+    matters = matters.withColumn("archived", F.lit(False))
+    positions = spark.createDataFrame(
+        [], "id string, firm_id string, matter_id string, clause_type string, value string, "
+        "status string, counterparty_name string, superseded_by string")
+    asked = [(f"r{i:02d}", "f", "acme", None) for i in range(30)]
+    # One request with rows for two parties and with two clauses.
+    asked += [("two", "f", "acme", None), ("two", "f", "corp", None), ("two", "f", "corp", "sla")]
+    ask = spark.createDataFrame(
+        asked, "request_id string, firm_id string, counterparty string, clause_type string")
+    found = CP._asked_matters(ask, CP._asks(ask, "request_id", "firm_id"), matters)
+    assert found.count() == 2 * 20  # not one row per request and matter
+    rows = Counter(r["request_id"] for r in CP.counterparty_history(ask, matters, positions).collect())
+    assert rows == {r: 20 for r, *_ in asked}
+    counts = {r["request_id"]: r["n_settled"] for r in CP.clause_counts(ask, matters, positions).collect()}
+    assert counts == dict(rows)
+    numbers = {r["request_id"]: r["matter_count"] for r in CP.matter_counts(ask, matters).collect()}
+    assert numbers == dict(rows)
