@@ -320,16 +320,31 @@ def by_names_in_hint(
     # Read for the automaton and again for the points.
     names = written(names.where(F.length("pattern") >= 3), "names")
     pairs = word_matches(names.select("firm_id", "pattern").distinct(), texts, "request_id")
+    # Texts that hold the same names have the same answer: it is put together once
+    # and meets the requests as a whole.
+    held = written(
+        pairs.groupBy(*REQUEST).agg(F.sort_array(F.collect_set("pattern")).alias("_held")),
+        "held",
+    )
+    # Written: the numbers differ from run to run.
+    sets = written(
+        held.select("firm_id", "_held").distinct().withColumn(
+            "_set", F.monotonically_increasing_id()
+        ),
+        "sets",
+    )
     scores = (
-        pairs.join(names, ["firm_id", "pattern"])
-        .groupBy(*REQUEST, "id", "created_at")
+        sets.select("firm_id", "_set", F.explode("_held").alias("pattern"))
+        .join(names, ["firm_id", "pattern"])
+        .groupBy("_set", "id", "created_at")
         .agg(F.sum("points").alias("score"))
     )
     # Best first in ascending order: missing times count as newest.
     age = -F.unix_micros(F.col("created_at").cast("timestamp"))
     order = [-F.col("score"), age, F.col("id")]
     k = None if alternatives is None else 1 + alternatives
-    return _without_document(_ids_in_order(scores, list(REQUEST), order, k), 4)
+    asked = held.join(sets, ["firm_id", "_held"]).drop("_held")
+    return _without_document(asked.join(_ids_in_order(scores, ["_set"], order, k), "_set"), 4)
 
 
 def resolve_documents(
@@ -356,7 +371,15 @@ def resolve_documents(
     for n, step in enumerate(steps, start=2):
         rest = hints.join(answers.select(*REQUEST), list(REQUEST), "left_anti")
         answers = answers.unionByName(written(step(rest), f"step{n}"))
-    return hints.select(*REQUEST).join(answers, list(REQUEST), "left").select(
+    asked = hints.select(*REQUEST)
+    twice = asked.groupBy(*REQUEST).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    if twice.isEmpty():
+        # Answers with long lists are not shuffled once more.
+        none = asked.join(answers.select(*REQUEST), list(REQUEST), "left_anti")
+        each = answers.unionByName(none, allowMissingColumns=True)
+    else:
+        each = asked.join(answers, list(REQUEST), "left")
+    return each.select(
         "request_id",
         "firm_id",
         F.coalesce("step", F.lit(0)).alias("step"),

@@ -6,6 +6,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from matterlake.plans.storage import written
 from matterlake.functions import text as X
 from matterlake.operators import handoffs as H
 from matterlake.operators import resolution as R
@@ -325,3 +326,55 @@ def test_empty_titles_are_reported(spark):
         "firm_id string, doc_title string",
     )
     assert [tuple(r) for r in H.report_empty_titles(df).collect()] == [("f", 2)]
+
+
+def test_texts_with_the_same_names_are_answered_together(spark, monkeypatch):
+    matters = spark.createDataFrame(
+        [(f"m{i:02d}", "f", "Blue Steel", "Acme" if i % 2 else "Other", None) for i in range(20)],
+        "id string, firm_id string, matter_name string, client_name string, created_at timestamp",
+    )
+    hints = spark.createDataFrame(
+        [(f"r{i:02d}", "f", None, None, f"note {i}: blue steel for acme") for i in range(30)],
+        "request_id string, firm_id string, word_doc_id string, document_name string, "
+        "content_snippet string",
+    )
+    sizes = {}
+
+    def counting(df, name="cut"):
+        out = written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(R, "written", counting)
+    got = R.by_names_in_hint(hints, matters).collect()
+    assert sizes["sets"] == 1
+    assert {r["request_id"] for r in got} == {f"r{i:02d}" for i in range(30)}
+    odd = [f"m{i:02d}" for i in range(1, 20, 2)]
+    even = [f"m{i:02d}" for i in range(0, 20, 2)]
+    assert {(r["matter_id"], tuple(r["alternatives"])) for r in got} == {
+        (odd[0], (*odd[1:], *even))
+    }
+
+
+def test_answers_are_not_shuffled_once_more(spark):
+    docs = spark.createDataFrame(
+        [("d1", "f", None, "Order 1 v1.docx", False, None)],
+        "id string, firm_id string, matter_id string, name string, is_precedent boolean, "
+        "word_doc_id string",
+    )
+    matters = spark.createDataFrame(
+        [("m1", "f", "Blue Steel", None, None)],
+        "id string, firm_id string, matter_name string, client_name string, created_at timestamp",
+    )
+    rows = [("r1", "f", None, "order 1", None), ("r2", "f", None, None, "blue steel"),
+            ("r3", "f", None, None, "zzz")]
+    schema = ("request_id string, firm_id string, word_doc_id string, document_name string, "
+              "content_snippet string")
+    got = R.resolve_documents(spark.createDataFrame(rows, schema), docs, matters)
+    assert "LeftOuter" not in plan_of(got)
+    assert sorted((r["request_id"], r["step"]) for r in got.collect()) == [
+        ("r1", 2), ("r2", 3), ("r3", 0)
+    ]
+    # A request that is given twice is answered twice.
+    twice = R.resolve_documents(spark.createDataFrame(rows + rows[2:], schema), docs, matters)
+    assert sorted(r["request_id"] for r in twice.collect()) == ["r1", "r2", "r3", "r3"]
