@@ -12,6 +12,7 @@ from matterlake.functions import mentions
 from matterlake.functions import text as X
 from matterlake.functions.chunking import chunk_text
 from matterlake.functions.models import EmbedFn, ExtractFn, embed_batch
+from matterlake.plans.storage import small_batches
 
 _CHUNKS = "array<struct<text:string,start_offset:int,end_offset:int>>"
 _VECTOR = "struct<embedding:array<float>,tokens:int,error:string>"
@@ -37,6 +38,25 @@ _MENTIONS = "array<struct<rule:int,mention:string,excerpt:string>>"
 # Characters of an excerpt around the start of its mention.
 EXCERPT_BEFORE = 100
 EXCERPT_AFTER = 200
+# Characters of the texts whose results a worker holds at a time.
+PIECE_CHARS = 1 << 19
+
+
+def pieces(batch: pd.Series, most: int = PIECE_CHARS) -> Iterator[pd.Series]:
+    """The batch in runs of rows of about ``most`` characters, a longer text alone.
+
+    Results take many times the room of their texts, so they are handed on run by
+    run and not for a whole batch at once.
+    """
+    start, held = 0, 0
+    for at, text in enumerate(batch):
+        n = len(text or "")
+        if at > start and held + n > most:
+            yield batch.iloc[start:at]
+            start, held = at, 0
+        held += n
+    if start < len(batch):
+        yield batch.iloc[start:]
 
 
 def _chunks_of(lossy: bool):
@@ -44,13 +64,14 @@ def _chunks_of(lossy: bool):
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("text", "start_offset", "end_offset")
         for batch in batches:
-            yield pd.Series(
-                [
-                    [dict(zip(names, c)) for c in chunk_text(text or "", lossy)]
-                    for text in batch
-                ],
-                dtype=object,
-            )
+            for piece in pieces(batch):
+                yield pd.Series(
+                    [
+                        [dict(zip(names, c)) for c in chunk_text(text or "", lossy)]
+                        for text in piece
+                    ],
+                    dtype=object,
+                )
 
     return chunks
 
@@ -63,6 +84,7 @@ def chunk_documents(
     Each document is packed by itself, so the work splits by rows; only the
     text column goes through the Python worker.
     """
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != content]
     return docs.select(
         *others, F.posexplode(_chunks_of(lossy)(F.col(content))).alias("chunk_index", "_c")
@@ -82,11 +104,11 @@ def embed(
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
             texts = [t or "" for t in series]
-            rows: list[tuple] = []
             for at in range(0, len(texts), batch):
-                rows += embed_batch(texts[at : at + batch], embed_fn, attempts)
-            yield pd.DataFrame(rows, columns=["embedding", "tokens", "error"])
+                rows = embed_batch(texts[at : at + batch], embed_fn, attempts)
+                yield pd.DataFrame(rows, columns=["embedding", "tokens", "error"])
 
+    small_batches(df.sparkSession)
     return df.withColumn("_v", vectors(F.col(text))).select(
         *df.columns,
         F.col("_v.embedding").alias("embedding"),
@@ -124,6 +146,7 @@ def with_rule_positions(
     a clause gives its first mention, in the order of the rules.  Null and empty
     texts have none.  All rules are matched in one pass over the text.
     """
+    small_batches(docs.sparkSession)
     find = _mention_finder(list(rules.values()), first_only, before, after)
     clauses = F.array(*[F.lit(c) for c in rules])
     positions = F.transform(
@@ -147,11 +170,14 @@ def _mention_finder(patterns: list[str], first_only: bool, before: int, after: i
     @F.pandas_udf(_MENTIONS)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for text in batch:
-                places = rule.first_places(text) if first_only else rule.places(text)
-                out.append(mentions.excerpts(text, places, before, after, apart=not first_only))
-            yield pd.Series(out, dtype=object)
+            for piece in pieces(batch):
+                out = []
+                for text in piece:
+                    places = rule.first_places(text) if first_only else rule.places(text)
+                    out.append(
+                        mentions.excerpts(text, places, before, after, apart=not first_only)
+                    )
+                yield pd.Series(out, dtype=object)
 
     return find
 
@@ -176,7 +202,8 @@ def _extract_with(extract_fn: ExtractFn):
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = ["positions", "input_tokens", "output_tokens", "error"]
         for batch in batches:
-            yield pd.DataFrame([one(t or "") for t in batch], columns=names)
+            for piece in pieces(batch):
+                yield pd.DataFrame([one(t or "") for t in piece], columns=names)
 
     return extract
 
@@ -207,6 +234,7 @@ def extract_positions(
             F.lit(0).alias("output_tokens"),
             F.lit(None).cast("string").alias("error"),
         )
+    small_batches(docs.sparkSession)
     named = context or {}
     parts = [
         F.col(named[n]) if n in named else F.lit(None).cast("string")

@@ -72,3 +72,15 @@ def spread_if_narrow(scan: DataFrame) -> DataFrame:
     if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores)
+
+
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` texts; a smaller setting stays as it is.
+
+    A batch is held whole by a Python worker, and texts may be long.
+    """
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= rows:
+        spark.conf.set(BATCH_KEY, str(rows))

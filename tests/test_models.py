@@ -1,6 +1,7 @@
 """Chunks, embeddings, vectors, extraction and intake."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,3 +398,30 @@ def test_stored_positions_follow_the_queue(spark):
     assert after["old"]["superseded_by"] == after["soon"]["id"]
     assert after["soon"]["superseded_by"] == after["late"]["id"]
     assert after["late"]["superseded_by"] is None
+
+
+def test_results_are_handed_on_in_pieces(spark):
+    texts = pd.Series(["a" * 6, None, "b" * 5, "c" * 40, "", "d"])
+    cut = [list(p) for p in TM.pieces(texts, most=10)]
+    assert cut == [["a" * 6, None], ["b" * 5], ["c" * 40], ["", "d"]]
+    assert [t for p in cut for t in p] == list(texts)
+    assert list(TM.pieces(texts[:0])) == []
+
+
+def test_batches_of_texts_stay_small(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(6).select(
+        F.col("id"), F.repeat(F.lit("fees are due. "), 100_000).alias("content")
+    )
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        chunked = TM.chunk_documents(docs)
+        assert int(spark.conf.get(key)) <= 1000
+        # A text above the size of a piece; several pieces in a batch.
+        per_doc = chunked.groupBy("id").count().collect()
+        assert len(per_doc) == 6 and len({r["count"] for r in per_doc}) == 1
+        found = TM.with_rule_positions(docs, "content", {"fees": "fees"})
+        assert {r["n"] for r in found.select(F.size("positions").alias("n")).collect()} == {100_000}
+    finally:
+        spark.conf.set(key, before)
