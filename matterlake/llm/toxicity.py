@@ -29,6 +29,8 @@ BEGINNINGS = (5, 6)
 PENALTY = 1.0
 SHRINK = 0.001
 ROUNDS = 400
+# Training rows whose features are counted at once.
+PIECE = 256
 
 # Names of groups that can stand for one another in a sentence (fixed values).
 IDENTITIES = (
@@ -51,6 +53,7 @@ IDENTITIES = (
 )
 
 _SENTENCE = regex.compile(r"[^.!?\n]+")
+_FEATURES = pa.list_(pa.int32())
 
 
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +91,22 @@ def counterfactuals(text: str, identities=IDENTITIES) -> list[tuple[str, str]]:
     return out
 
 
+def _changed(before: str, after: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features that only one of two texts has, for each of them."""
+    f, g = (np.unique(features(Texts(pa.array([t])))[0]) for t in (before, after))
+    return np.setdiff1d(f, g, True), np.setdiff1d(g, f, True)
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as arrays, without a Python number per entry."""
+    out = []
+    for chunk in column.chunks:
+        ends = chunk.offsets.to_numpy()
+        flat = chunk.values.to_numpy()
+        out += [flat[a:b] for a, b in zip(ends, ends[1:])]
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -106,19 +125,25 @@ def fit_rows(
     swaps: list[tuple[np.ndarray, np.ndarray]],
     penalty: float = PENALTY,
 ) -> Model:
-    """``rows``: (features present, label); ``swaps``: features before, after."""
+    """``rows``: (features present, label); ``swaps``: features before, after.
+
+    Features on both sides of a swap cancel out and may be left away.
+    """
     y = np.array([label for _, label in rows])
     weights = np.zeros(WIDTH, np.float32)
     n, n1 = len(y), y.sum()
     base = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
     if not 0 < n1 < n:
         return Model(weights, base)
-    flat = np.concatenate([f for f, _ in rows])
-    row = np.repeat(np.arange(n), [len(f) for f, _ in rows])
     # The features that tell the classes apart best (difference of log odds in
-    # units of its deviation).
-    seen = np.bincount(flat, minlength=WIDTH)
-    seen1 = np.bincount(flat, weights=y[row], minlength=WIDTH)
+    # units of its deviation).  Counted in pieces: the driver holds them once.
+    seen, seen1 = np.zeros(WIDTH), np.zeros(WIDTH)
+    for a in range(0, n, PIECE):
+        some = [f for f, _ in rows[a : a + PIECE]]
+        flat = np.concatenate(some)
+        label = np.repeat(y[a : a + PIECE], [len(f) for f in some])
+        seen += np.bincount(flat, minlength=WIDTH)
+        seen1 += np.bincount(flat, weights=label, minlength=WIDTH)
     seen0 = seen - seen1
     odds = np.log((seen1 + 0.5) / (n1 + 1)) - np.log((seen0 + 0.5) / (n - n1 + 1))
     strength = np.abs(odds) / np.sqrt(1 / (seen1 + 0.5) + 1 / (seen0 + 0.5))
@@ -127,8 +152,8 @@ def fit_rows(
     top = top[strength[top] > 0]
     place = np.full(WIDTH, -1)
     place[top] = np.arange(len(top))
-    kept = place[flat] >= 0
-    at, row = place[flat[kept]], row[kept]
+    kept = [own[own >= 0] for own in (place[f] for f, _ in rows)]
+    at, row = np.concatenate(kept), np.repeat(np.arange(n), [len(own) for own in kept])
 
     change, pair, sign = [], [], []
     for i, (before, after) in enumerate(swaps):
@@ -190,20 +215,15 @@ def fit(
             ends = np.searchsorted(row, np.arange(b - a + 1))
             for i, text in enumerate(part.to_pylist()):
                 found.append(f[ends[i] : ends[i + 1]])
-                pairs = counterfactuals(text)
-                for side, own in ((0, before), (1, after)):
-                    own.append(
-                        [
-                            np.unique(features(Texts(pa.array([p[side]])))[0]).tolist()
-                            for p in pairs
-                        ]
-                    )
+                pairs = [_changed(*p) for p in counterfactuals(text)]
+                before.append([p[0] for p in pairs])
+                after.append([p[1] for p in pairs])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(found, pa.list_(pa.int32())),
+                pa.array(found, _FEATURES),
                 batch.column(1),
-                pa.array(before, pa.list_(pa.list_(pa.int32()))),
-                pa.array(after, pa.list_(pa.list_(pa.int32()))),
+                pa.array(before, pa.list_(_FEATURES)),
+                pa.array(after, pa.list_(_FEATURES)),
             ],
             names=["found", "label", "before", "after"],
         )
@@ -213,17 +233,16 @@ def fit(
         run,
         "found array<int>, label double, before array<array<int>>, after array<array<int>>",
     ).toArrow()
-    found = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int32) if x.values is not None else np.empty(0, np.int32) for x in table["found"]]
+    found = _arrays(table["found"])
     # The order of rows depends on the partitions; sums of floats do not mind
     # once it is fixed.
     order = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes()))
     y = table["label"].to_pylist()
-    swaps = [
-        (np.array(p, np.int64), np.array(q, np.int64))
-        for ps, qs in zip(table["before"].to_pylist(), table["after"].to_pylist())
-        for p, q in zip(ps, qs)
-    ]
-    swaps.sort(key=lambda s: (s[0].tobytes(), s[1].tobytes()))
+    pairs = (
+        _arrays(pa.chunked_array([c.flatten() for c in table[side].chunks], _FEATURES))
+        for side in ("before", "after")
+    )
+    swaps = sorted(zip(*pairs), key=lambda s: (s[0].tobytes(), s[1].tobytes()))
     return fit_rows([(found[i], y[i]) for i in order], swaps, penalty)
 
 

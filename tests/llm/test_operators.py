@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -272,6 +273,28 @@ def test_swapped_groups_score_alike():
     assert gap(toxicity.fit_rows(data, swaps, 20.0)) < 0.5 * gap(toxicity.fit_rows(data, [], 0.0))
 
 
+def test_toxicity_fit_holds_features_once():
+    rng = np.random.default_rng(1)
+    rows = [
+        (np.unique(rng.integers(0, toxicity.WIDTH, 2000)).astype(np.int32), float(i % 2))
+        for i in range(4000)
+    ]
+    tracemalloc.start()
+    toxicity.fit_rows(rows, [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The rows themselves take 32 MB.
+    assert peak < 150e6
+
+
+def test_swaps_carry_what_they_change():
+    lone, other = toxicity._changed("all those women sing", "all those men sing")
+    words = Texts(pa.array(["women", "men", "those"]))
+    women, men, those = (f for f in toxicity.features(words)[0][:3])
+    assert women in lone and men in other
+    assert those not in lone and those not in other
+
+
 def test_quality(spark, edge, none):
     docs, labels = labelled_docs(spark, lambda t: t.replace(" ", "!!# "))
     held = fold(F.col("doc_id"), 4) == 2
