@@ -1,5 +1,6 @@
 """Distances between counts and between vectors."""
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +66,25 @@ def combined_delta(
     return gap + pct_delta(stored_words, words) * F.lit(100.0)
 
 
+def tiers_of_arrays(
+    stored_paragraphs: np.ndarray,
+    stored_words: np.ndarray,
+    paragraphs: np.ndarray,
+    words: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``tier_rank`` of ``match_tier`` (3: none) and ``combined_delta`` of arrays."""
+    paragraph_gap = np.abs(stored_paragraphs - paragraphs)
+    word_gap = np.abs(stored_words - words)
+    larger = np.maximum(stored_words, words)
+    share = word_gap / np.where(larger == 0, 1.0, larger)
+    paragraph_band = np.maximum(CLOSE_PARAGRAPHS, np.ceil(paragraphs * CLOSE_PARAGRAPH_SHARE))
+    word_band = np.maximum(float(CLOSE_WORDS), words * CLOSE_WORD_SHARE)
+    rank = np.where(share <= LOOSE_WORD_SHARE, np.int8(2), np.int8(3))
+    rank[(paragraph_gap <= paragraph_band) & (word_gap <= word_band)] = 1
+    rank[(paragraph_gap == 0) & (share <= EXACT_WORD_SHARE)] = 0
+    return rank, paragraph_gap + share * 100.0
+
+
 def _dot(u: Column, v: Column) -> Column:
     products = F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)

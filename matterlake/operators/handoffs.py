@@ -3,12 +3,15 @@
 Signals: (request_id, firm_id, doc_title, paragraph_count, word_count).
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matterlake.functions import scoring as D
 from matterlake.functions import text as X
 from matterlake.plans.skew import top_per_group
+from matterlake.plans.storage import written
 from matterlake.sources.sinks import derived_id
 
 # A request belongs to a firm: two firms may use the same request id.
@@ -34,10 +37,24 @@ def _size_class(words: Column) -> Column:
     return F.length(F.bin(F.greatest(words.cast("long"), F.lit(32))))
 
 
-def scored_sizes(
-    signals: DataFrame, handoffs: DataFrame, n: int | None = None
-) -> DataFrame:
-    """Each asked size of a title with each stored size of it within the bands.
+# Sizes of a title and size class that make a block; and how many stored ones it
+# takes for blocks to be made at all.
+BLOCK_SIZES = 4096
+FEW_SIZES = 32
+# Pairs of sizes compared at once, which bounds the tables of a block.
+BLOCK_PAIRS = 1 << 18
+
+_GROUP = (*TITLE, "_class")
+_FOUND = (
+    "firm_id string, doc_title_normalised string, _paragraphs int, _words int, "
+    "rank int, combined double, age long, handoff_id string, _n long"
+)
+
+
+def _sizes(
+    signals: DataFrame, handoffs: DataFrame, n: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """The asked and the stored sizes by title and size class.
 
     Handoffs of one title and size differ only in age, so one row, with its
     newest handoff and their number, stands for all of them; requests of one
@@ -45,8 +62,8 @@ def scored_sizes(
     """
     asked = with_title_key(signals).select(
         *TITLE,
-        F.col("paragraph_count").alias("_paragraphs"),
-        F.col("word_count").alias("_words"),
+        F.col("paragraph_count").cast("int").alias("_paragraphs"),
+        F.col("word_count").cast("int").alias("_words"),
     )
     age = -F.unix_micros(F.col("last_active").cast("timestamp"))
     # Handoffs without a time come last.
@@ -54,28 +71,159 @@ def scored_sizes(
         F.coalesce(age, F.lit((1 << 63) - 1)).alias("age"), F.col("id").alias("id")
     )
     stored = handoffs if n is None else newest_handoffs(handoffs, n)
-    sizes: list[Column] = [
-        F.col("paragraph_count"),
-        F.col("word_count"),
-        F.col("_paragraphs"),
-        F.col("_words"),
-    ]
     of_stored = (
-        stored.groupBy(*TITLE, "paragraph_count", "word_count")
+        stored.where(F.col("word_count").isNotNull())
+        .groupBy(*TITLE, "paragraph_count", "word_count")
         .agg(F.min(newest).alias("_newest"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_class", _size_class(F.col("word_count")))
+        .select(
+            *TITLE,
+            _size_class(F.col("word_count")).alias("_class"),
+            F.col("paragraph_count").cast("int").alias("paragraph_count"),
+            F.col("word_count").cast("int").alias("word_count"),
+            "_newest.age",
+            F.col("_newest.id").alias("handoff_id"),
+            "_n",
+        )
     )
     own = _size_class(F.col("_words"))
-    return (
-        asked.distinct()
+    of_asked = (
+        asked.where(F.col("_words").isNotNull())
+        .distinct()
         .withColumn("_class", F.explode(F.array(own - 1, own, own + 1)))
-        .join(of_stored.hint("merge"), [*TITLE, "_class"])
-        .withColumn("tier", D.match_tier(*sizes))
-        .where(F.col("tier").isNotNull())
+    )
+    return of_asked, of_stored
+
+
+def _paired(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each asked size with each stored size within the bands, as rows."""
+    sizes = [F.col(c) for c in ("paragraph_count", "word_count", "_paragraphs", "_words")]
+    return (
+        asked.join(stored.hint("merge"), list(_GROUP))
+        .withColumn("rank", D.tier_rank(D.match_tier(*sizes)))
+        .where(F.col("rank").isNotNull())
         .withColumn("combined", D.combined_delta(*sizes))
     )
 
 
+def _block(newest_close: bool):
+    """The best stored size of a block for each asked size of it, and the count."""
+
+    def best(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        n, m = asked.num_rows, stored.num_rows
+        if not n or not m:
+            return pa.table(_EMPTY)
+        ages, ids = stored["age"].to_pylist(), stored["handoff_id"].to_pylist()
+        # The first of equals is then the newest.
+        order = sorted(range(m), key=lambda i: (ages[i], ids[i] is not None, ids[i] or ""))
+        # Missing numbers become NaN, which no band admits.
+        p0, w0 = (
+            stored[c].to_numpy().astype(float)[order] for c in ("paragraph_count", "word_count")
+        )
+        number = stored["_n"].to_numpy()[order]
+        p1, w1 = (asked[c].to_numpy().astype(float) for c in ("_paragraphs", "_words"))
+        rows, at, ranks, gaps, counts = [], [], [], [], []
+        step = max(1, BLOCK_PAIRS // m)
+        for a in range(0, n, step):
+            rank, combined = D.tiers_of_arrays(
+                p0[None], w0[None], p1[a : a + step, None], w1[a : a + step, None]
+            )
+            count = (rank <= (1 if newest_close else 2)) @ number
+            if newest_close:
+                first = (rank <= 1).argmax(axis=1)
+            else:
+                least = rank.min(axis=1)
+                # A missing difference goes first.
+                held = np.where(np.isnan(combined), -np.inf, combined)
+                first = np.where(rank == least[:, None], held, np.inf).argmin(axis=1)
+            own = np.flatnonzero(count)
+            rows.append(a + own)
+            at.append(first[own])
+            ranks.append(rank[own, first[own]])
+            gaps.append(combined[own, first[own]])
+            counts.append(count[own])
+        rows, at, ranks, gaps, counts = map(np.concatenate, (rows, at, ranks, gaps, counts))
+        found = asked.take(rows)
+        chosen = stored.take(np.asarray(order)[at])
+        columns = [
+            *(found[c] for c in (*TITLE, "_paragraphs", "_words")),
+            pa.array(ranks, pa.int32()),
+            pa.array(gaps, pa.float64(), mask=np.isnan(gaps)),
+            chosen["age"],
+            chosen["handoff_id"],
+            pa.array(counts, pa.int64()),
+        ]
+        return pa.table(columns, names=list(_EMPTY))
+
+    return best
+
+
+_EMPTY = {
+    "firm_id": pa.array([], pa.string()),
+    "doc_title_normalised": pa.array([], pa.string()),
+    "_paragraphs": pa.array([], pa.int32()),
+    "_words": pa.array([], pa.int32()),
+    "rank": pa.array([], pa.int32()),
+    "combined": pa.array([], pa.float64()),
+    "age": pa.array([], pa.int64()),
+    "handoff_id": pa.array([], pa.string()),
+    "_n": pa.array([], pa.int64()),
+}
+
+
+def scored_sizes(
+    signals: DataFrame,
+    handoffs: DataFrame,
+    n: int | None = None,
+    newest_close: bool = False,
+) -> DataFrame:
+    """Stored sizes of an asked size's title within the bands, best of each block.
+
+    Where a title has many sizes of a class, they are compared in blocks of about
+    ``BLOCK_SIZES`` by as many, and a block hands on one row per asked size: its
+    best stored one and the number of handoffs within the bands.  So pairs are
+    neither shuffled nor sorted.  ``newest_close``: the best is the newest that
+    matches exactly or closely; only these count.
+    """
+    asked, stored = (written(x, "sizes") for x in _sizes(signals, handoffs, n))
+    counts = (
+        stored.groupBy(*_GROUP)
+        .agg(F.count(F.lit(1)).alias("_stored"))
+        .join(asked.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("_asked")), list(_GROUP))
+    )
+    few = F.col("_stored") <= FEW_SIZES
+    pieces = {c: F.ceil(F.col(c) / BLOCK_SIZES).cast("int") for c in ("_stored", "_asked")}
+    cut = counts.where(~few).select(*_GROUP, *[v.alias(c) for c, v in pieces.items()])
+    small = counts.where(few).select(*_GROUP)
+    paired = _paired(asked.join(small, list(_GROUP), "left_semi"), stored)
+    if newest_close:
+        paired = paired.where(F.col("rank") <= 1)
+
+    def sliced(side: DataFrame, own: str, other: str, *size: str) -> DataFrame:
+        every = F.sequence(F.lit(0), F.col(other) - 1)
+        return (
+            side.join(cut, list(_GROUP))
+            .withColumn(f"{own}_slice", F.pmod(F.xxhash64(*size), F.col(own)).cast("int"))
+            .withColumn(f"{other}_slice", F.explode(every))
+            .drop(own, other)
+        )
+
+    key = [*_GROUP, "_asked_slice", "_stored_slice"]
+    blocks = (
+        sliced(asked, "_asked", "_stored", "_paragraphs", "_words")
+        .groupBy(*key)
+        .cogroup(
+            sliced(stored, "_stored", "_asked", "paragraph_count", "word_count").groupBy(*key)
+        )
+        .applyInArrow(_block(newest_close), _FOUND)
+    )
+    return paired.select(*blocks.columns).unionByName(blocks)
+
+
+def _tier() -> Column:
+    names = F.array(*[F.lit(name) for name in D.TIER_RANKS])
+    return F.get(names, F.col("_best.rank"))
+
+
 def _answered(signals: DataFrame, best: DataFrame, how: str) -> DataFrame:
     """Every request with the row of ``best`` for its title and size."""
     keyed = with_title_key(signals).select(
@@ -95,20 +243,14 @@ def match_handoffs(
     Best tier, then smallest combined difference, then newest.  With ``n`` only
     the newest ``n`` handoffs of a title are compared.
     """
-    ranked = F.struct(
-        D.tier_rank(F.col("tier")).alias("rank"),
-        "combined",
-        F.col("_newest.age").alias("age"),
-        F.col("_newest.id").alias("handoff_id"),
-        "tier",
-    )
+    ranked = F.struct("rank", "combined", "age", "handoff_id")
     best = (
         scored_sizes(signals, handoffs, n)
         .groupBy(*TITLE, "_paragraphs", "_words")
         .agg(F.min(ranked).alias("_best"), (F.sum("_n") - 1).alias("_others"))
     )
     answers = _answered(signals, best, "left").select(
-        *REQUEST, "_best.handoff_id", "_best.tier", "_best.combined", "_others"
+        *REQUEST, "_best.handoff_id", _tier().alias("tier"), "_best.combined", "_others"
     )
     shown = handoffs.select(
         "firm_id",
@@ -142,13 +284,12 @@ def update_targets(
 ) -> DataFrame:
     """Per request the newest handoff that matches exactly or closely."""
     best = (
-        scored_sizes(signals, handoffs, n)
-        .where(F.col("tier").isin("exact", "close"))
+        scored_sizes(signals, handoffs, n, newest_close=True)
         .groupBy(*TITLE, "_paragraphs", "_words")
-        .agg(F.min(F.struct("_newest", "tier")).alias("_best"))
+        .agg(F.min(F.struct("age", "handoff_id", "rank")).alias("_best"))
     )
     return _answered(signals, best, "inner").select(
-        *REQUEST, F.col("_best._newest.id").alias("handoff_id"), "_best.tier"
+        *REQUEST, "_best.handoff_id", _tier().alias("tier")
     )
 
 

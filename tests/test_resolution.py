@@ -378,3 +378,33 @@ def test_answers_are_not_shuffled_once_more(spark):
     # A request that is given twice is answered twice.
     twice = R.resolve_documents(spark.createDataFrame(rows + rows[2:], schema), docs, matters)
     assert sorted(r["request_id"] for r in twice.collect()) == ["r1", "r2", "r3", "r3"]
+
+
+def test_blocks_of_sizes_hand_on_one_row_per_asked_size(spark, monkeypatch):
+    rows = [("f", "Memo", i % 9, 100 + 3 * i) for i in range(60)]
+    signals = spark.createDataFrame(
+        [(f"r{i}", f, t, p + i % 4, w + i % 30) for i, (f, t, p, w) in enumerate(rows)],
+        "request_id string, firm_id string, doc_title string, paragraph_count int, word_count int",
+    )
+    stored = spark.createDataFrame(
+        [(f"h{i}", *r, "memo", "s", i % 7, "2024-01-01") for i, r in enumerate(rows)],
+        "id string, firm_id string, doc_title string, paragraph_count int, word_count int, "
+        "doc_title_normalised string, summary string, turn_count int, last_active string",
+    ).withColumn("last_active", F.expr("to_timestamp(last_active) + make_dt_interval(turn_count)"))
+    own = H.with_title_key(signals).select("doc_title_normalised").distinct().first()[0]
+    stored = stored.withColumn("doc_title_normalised", F.lit(own))
+
+    def answers():
+        found = H.match_handoffs(signals, stored).collect()
+        return sorted(found), sorted(H.update_targets(signals, stored).collect())
+
+    monkeypatch.setattr(H, "FEW_SIZES", 1000)
+    assert H.scored_sizes(signals, stored).count() > 1000
+    plain = answers()
+    monkeypatch.setattr(H, "FEW_SIZES", 0)
+    monkeypatch.setattr(H, "BLOCK_PAIRS", 50)
+    # One row per asked size and class of stored sizes, not one per pair.
+    assert H.scored_sizes(signals, stored).count() <= 3 * 60
+    assert answers() == plain
+    monkeypatch.setattr(H, "BLOCK_SIZES", 7)
+    assert answers() == plain
