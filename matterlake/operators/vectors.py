@@ -36,11 +36,16 @@ PUSHED_FIRMS = 500
 # Rows of a firm compared at once, which bounds the distance table.
 BATCH_ROWS = 4096
 
+# Queries times rows of a firm whose distances are held at once.
+TABLE_CELLS = 1 << 20
+
 # Distances are rounded to this many digits, so that copies of a vector tie
 # whatever block they fall in.
 DIGITS = 12
 # What rounding and the bounds' own arithmetic may be off by.
 SLACK = 1e-9
+# More than rounding to ``DIGITS`` moves a distance.
+ROUNDED = 1e-11
 
 _HIT = "request_id string, firm_id string, id string, distance double"
 
@@ -54,102 +59,135 @@ def _unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return m, usable
 
 
-def _distances(queries: list, vectors: list) -> np.ndarray:
-    """Queries x rows; infinite where a vector is zero or the lengths differ."""
-    out = np.full((len(queries), len(vectors)), np.inf)
-    q_size = np.array([len(v) for v in queries])
-    v_size = np.array([len(v) for v in vectors])
-    for n in np.unique(q_size):
-        rows, columns = np.flatnonzero(q_size == n), np.flatnonzero(v_size == n)
-        if not len(columns):
-            continue
-        q, q_ok = _unit_rows([queries[i] for i in rows])
-        v, v_ok = _unit_rows([vectors[i] for i in columns])
-        part = np.round(1.0 - q @ v.T, DIGITS)
-        part[~q_ok, :] = np.inf
-        part[:, ~v_ok] = np.inf
-        out[np.ix_(rows, columns)] = part
-    return out
-
-
 class _Best:
     """The best ``k`` hits so far of each of some queries of one firm."""
 
     def __init__(self, asked: pd.DataFrame, k: int):
         self.k = k
         self.requests = asked["request_id"].tolist()
-        self.vectors = list(asked["query"])
-        self.wanted = [w if isinstance(w, str) else None for w in asked["wanted"]]
-        self.held: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.empty(0), np.empty(0, dtype=object)) for _ in self.requests
-        ]
+        n = len(self.requests)
+        vectors = list(asked["query"])
+        size = np.array([len(v) for v in vectors], dtype=int)
+        self.units, self.usable = np.zeros((n, size.max(initial=0))), np.zeros(n, bool)
+        for width in np.unique(size):
+            own = np.flatnonzero(size == width)
+            self.units[own, :width], self.usable[own] = _unit_rows([vectors[i] for i in own])
+        self.size = size
+        # Queries of one width and one wanted matter (or none) meet the same rows.
+        wanted = [w if isinstance(w, str) else None for w in asked["wanted"]]
+        self.parts: dict[str | None, list[np.ndarray]] = {}
+        together: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(wanted, size.tolist())):
+            together.setdefault(key, []).append(i)
+        for (matter, _), own in together.items():
+            self.parts.setdefault(matter, []).append(np.array(own))
+        self.held_d = np.full((n, k), np.inf)
+        self.held_ids = np.full((n, k), None, dtype=object)
+        self.count = np.zeros(n, int)
         # The distance a row must not exceed to matter; infinite until k are held.
-        self.bar = np.full(len(self.requests), np.inf)
-        self.full = np.zeros(len(self.requests), bool)
+        self.bar = np.full(n, np.inf)
         self.skipped = 0
 
-    def _unreachable(self, vectors: list) -> np.ndarray:
+    def _unreachable(self, rows: np.ndarray, usable: np.ndarray) -> np.ndarray:
         """Queries that no row of the batch can serve: all are too far.
 
         On the unit sphere the angle of query and row is at least that of query
         and centroid less the radius.  Only for vectors of one length, none zero.
         """
         none = np.zeros(len(self.requests), bool)
-        if not self.full.any() or len({len(v) for v in vectors}) != 1:
-            return none
-        rows, usable = _unit_rows(vectors)
         centre = rows.mean(axis=0)
         size = np.sqrt(centre @ centre)
         if not usable.all() or size < SLACK:
             return none
         centre /= size
         radius = np.arccos(np.clip(rows @ centre, -1, 1)).max()
-        same = np.array([len(v) == len(centre) for v in self.vectors])
-        some = np.flatnonzero(same & self.full)
-        if not len(some):
-            return none
-        asked, ok = _unit_rows([self.vectors[i] for i in some])
-        angle = np.arccos(np.clip(asked @ centre, -1, 1))
+        some = np.flatnonzero(
+            (self.size == len(centre)) & (self.count == self.k) & self.usable
+        )
+        angle = np.arccos(np.clip(self.units[some, : len(centre)] @ centre, -1, 1))
         least = 1 - np.cos(np.maximum(0, angle - radius))
-        none[some] = ok & (least - SLACK > self.bar[some])
+        none[some] = least - SLACK > self.bar[some]
         return none
 
     def offer(self, memory: pd.DataFrame) -> None:
         vectors = list(memory["embedding"])
-        open_ = np.flatnonzero(~self._unreachable(vectors))
-        self.skipped += len(self.requests) - len(open_)
-        if not len(open_):
-            return
         ids = memory["id"].to_numpy(dtype=object)
-        matters = memory["matter_id"].to_numpy(dtype=object)
-        table = _distances([self.vectors[i] for i in open_], vectors)
-        for row, i in enumerate(open_.tolist()):
-            d = table[row]
-            near = ~self.full[i] | (d <= self.bar[i])
-            if self.wanted[i] is not None:
-                near = near & (matters == self.wanted[i])
-            near = np.flatnonzero(near)
-            if not len(near):
-                continue
-            if len(near) > self.k:
-                edge = np.partition(d[near], self.k - 1)[self.k - 1]
-                near = near[d[near] <= edge]
-            have_d, have_ids = self.held[i]
-            all_d = np.concatenate((have_d, d[near]))
-            all_ids = np.concatenate((have_ids, ids[near]))
-            order = np.lexsort((all_ids, all_d))[: self.k]
-            self.held[i] = all_d[order], all_ids[order]
-            if len(order) == self.k:
-                self.full[i], self.bar[i] = True, all_d[order[-1]]
+        sizes = np.array([len(v) for v in vectors])
+        by_size = {}
+        for width in np.unique(sizes):
+            at = np.flatnonzero(sizes == width)
+            unit, usable = _unit_rows([vectors[i] for i in at])
+            by_size[int(width)] = at, unit, usable
+        open_ = np.ones(len(self.requests), bool)
+        if len(by_size) == 1:
+            ((_, unit, usable),) = by_size.values()
+            open_ = ~self._unreachable(unit, usable)
+        self.skipped += len(self.requests) - int(open_.sum())
+        every = np.arange(len(ids))
+        for own in self.parts.get(None, ()):
+            self._compare(own[open_[own]], every, ids, by_size)
+        # A query in a matter meets that matter's rows only.
+        for matter, rows in memory.reset_index(drop=True).groupby("matter_id").groups.items():
+            for own in self.parts.get(matter, ()):
+                self._compare(own[open_[own]], rows.to_numpy(), ids, by_size)
+
+    def _compare(self, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, by_size: dict) -> None:
+        """Queries of one width with some rows, so many at a time."""
+        if not len(own):
+            return
+        width = int(self.size[own[0]])
+        none = np.empty(0, int), np.empty((0, width)), np.empty(0, bool)
+        at, unit, usable = by_size.get(width, none)
+        # Rows of another width, and zero vectors, have no distance.
+        place = np.full(len(ids), -1)
+        place[at[usable]] = np.flatnonzero(usable)
+        near_rows = np.flatnonzero(place[rows] >= 0)
+        against = unit[place[rows[near_rows]]].T
+        step = max(1, TABLE_CELLS // len(rows))
+        for lo in range(0, len(own), step):
+            some = own[lo : lo + step]
+            table = np.full((len(some), len(rows)), np.inf)
+            ok = np.flatnonzero(self.usable[some])
+            table[np.ix_(ok, near_rows)] = 1.0 - self.units[some[ok], :width] @ against
+            self._take(some, table, ids[rows])
+
+    def _take(self, some: np.ndarray, table: np.ndarray, ids: np.ndarray) -> None:
+        """Merge the rows of a table that may be among the best into the best."""
+        k = self.k
+        near = table <= (self.bar[some] + ROUNDED)[:, None]
+        many = np.flatnonzero(near.sum(axis=1) > k)
+        if len(many):
+            edge = np.partition(table[many], k - 1, axis=1)[:, k - 1]
+            near[many] &= table[many] <= (edge + ROUNDED)[:, None]
+        row, column = np.nonzero(near)
+        if not len(row):
+            return
+        touched = np.unique(row)
+        have, slot = np.nonzero(np.arange(k)[None] < self.count[some[touched]][:, None])
+        have = touched[have]
+        row = np.concatenate((have, row))
+        d = np.concatenate(
+            (self.held_d[some[have], slot], np.round(table[near], DIGITS))
+        )
+        names = np.concatenate((self.held_ids[some[have], slot], ids[column]))
+        order = np.lexsort((names, d, row))
+        row, d, names = row[order], d[order], names[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < k
+        query, rank = some[row[kept]], rank[kept]
+        self.held_d[query, rank], self.held_ids[query, rank] = d[kept], names[kept]
+        np.maximum.at(self.count, query, rank + 1)
+        full = some[self.count[some] == k]
+        self.bar[full] = self.held_d[full, k - 1]
 
     def hits(self, firm: str) -> pd.DataFrame:
-        n = [len(d) for d, _ in self.held]
+        held = np.arange(self.k)[None] < self.count[:, None]
         return pd.DataFrame(
             {
-                "request_id": np.repeat(np.array(self.requests, dtype=object), n),
+                "request_id": np.repeat(np.array(self.requests, dtype=object), self.count),
                 "firm_id": firm,
-                "id": np.concatenate([i for _, i in self.held]),
-                "distance": np.concatenate([d for d, _ in self.held]),
+                "id": self.held_ids[held],
+                "distance": self.held_d[held],
             }
         )
 

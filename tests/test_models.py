@@ -161,6 +161,28 @@ def test_running_heaps_skip_batches_and_send_k_rows():
     assert best.hits("f")["id"].tolist() == expected
 
 
+def test_tables_of_distances_are_bounded():
+    import tracemalloc
+
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    vectors = list(r.normal(size=(6000, 8)))
+    asked = pd.DataFrame({"request_id": [f"q{i}" for i in range(6000)], "query": vectors})
+    asked["wanted"] = [f"m{i % 3}" if i % 2 else None for i in range(6000)]
+    memory = pd.DataFrame({"id": [f"v{i:04d}" for i in range(4096)], "embedding": vectors[:4096]})
+    memory["matter_id"] = [f"m{i % 3}" for i in range(4096)]
+    best = VX._Best(asked, 2)
+    tracemalloc.start()
+    best.offer(memory)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All distances at once would take 197 MB.
+    assert peak < 100e6
+    first = best.hits("f").drop_duplicates("request_id")["id"].tolist()
+    assert first[:4096] == memory["id"].tolist()
+
+
 def test_far_cells_are_not_read(spark):
     rows = _near(spark)
     memory = spark.createDataFrame(rows, MEMORY)
