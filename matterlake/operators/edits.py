@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matterlake.functions.wordedits import word_counts, word_edits
+from matterlake.functions.wordedits import rebuilt, word_counts, word_edits
 from matterlake.plans.storage import spread
 
 _RESULT = (
@@ -109,3 +109,19 @@ def tighten_edits(
         "edits_count",
         "error",
     )
+
+
+def apply_edits(old: Column, edits: Column) -> Column:
+    """The text that ``edits`` (of ``diff_pairs``) make of ``old``.
+
+    Time grows with the text and its edits, not with their product.
+    """
+
+    @F.pandas_udf("string")
+    def applied(
+        old: pd.Series, before: pd.Series, after: pd.Series, start: pd.Series
+    ) -> pd.Series:
+        rows = zip(old, before, after, start)
+        return pd.Series([rebuilt(o, zip(b, a, s)) for o, b, a, s in rows], dtype=object)
+
+    return applied(old, *(edits[c] for c in ("old_text", "new_text", "old_start")))
