@@ -6,11 +6,11 @@ result passes through the driver.
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matterlake.operators import access as A
 from matterlake.plans.storage import scratch_path
@@ -108,19 +108,30 @@ def valid_session_stream(sessions: DataFrame, firm_users: DataFrame) -> DataFram
     return A.valid_sessions(sessions, firm_users)
 
 
-def _first_of_code(
-    key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """The earliest row of a code that was not redeemed in an earlier batch."""
-    if state.exists:
-        return
-    first = None
-    for part in parts:
-        own = part.sort_values(["attempted_at", "attempt_id"]).head(1)
-        first = own if first is None else pd.concat([first, own])
-    if first is not None:
-        state.update((True,))
-        yield first.sort_values(["attempted_at", "attempt_id"]).head(1)
+_HELD_ROWS = 100_000
+
+
+def _earliest(rows: pa.Table) -> pa.Table:
+    """One row per code: the earliest by ``attempted_at`` and ``attempt_id``."""
+    order = [("attempted_at", "ascending"), ("attempt_id", "ascending")]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=order))
+    places = pa.table({"code": rows["code"], "place": pa.array(range(len(rows)), pa.int64())})
+    first = places.group_by("code", use_threads=False).aggregate([("place", "min")])
+    return rows.take(first["place_min"])
+
+
+def _earliest_of_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest row per code of a partition; what was beaten is let go on the way."""
+    held, best, n = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        # Twice the codes seen so far, so that each row is sorted a few times at most.
+        if n >= max(_HELD_ROWS, 2 * best):
+            held = _earliest(pa.Table.from_batches(held)).combine_chunks().to_batches()
+            best = n = sum(b.num_rows for b in held)
+    if held:
+        yield from _earliest(pa.Table.from_batches(held)).to_batches(max_chunksize=_HELD_ROWS)
 
 
 def first_redemption_stream(attempts: DataFrame, codes: DataFrame) -> DataFrame:
@@ -128,13 +139,21 @@ def first_redemption_stream(attempts: DataFrame, codes: DataFrame) -> DataFrame:
 
     Within a micro-batch the earliest by ``attempted_at`` and ``attempt_id``
     counts.  An attempt is timely by its own time, however late its row comes,
-    so nothing is dropped by a watermark.  The state is one flag per redeemed
+    so nothing is dropped by a watermark.  The state is one key per redeemed
     code, no more than the table of codes holds.
+
+    Codes are reduced a partition at a time, not by a call each.  That happens
+    before the join, too, so a code with very many attempts is no task's burden:
+    where any attempt of a code is timely, its earliest is.
     """
     usable = codes.where(F.col("redeemed_at").isNull()).select("code", "expires_at")
-    timely = attempts.join(usable, "code").where(
+    earliest = attempts.mapInArrow(_earliest_of_codes, attempts.schema)
+    timely = earliest.join(usable, "code").where(
         F.col("expires_at") > F.col("attempted_at")
     )
-    return timely.groupBy("code").applyInPandasWithState(
-        _first_of_code, timely.schema, "redeemed boolean", "append", GroupStateTimeout.NoTimeout
+    # One row per code and micro-batch is left, so it is settled which one is kept.
+    return (
+        timely.repartition("code")
+        .mapInArrow(_earliest_of_codes, timely.schema)
+        .dropDuplicates(["code"])
     )

@@ -1,5 +1,6 @@
 """Streams over several files equal the batch operators on all rows."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from matterlake.operators import positions as P
@@ -236,3 +237,40 @@ def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path):
     for table in ("documents", "labels"):
         got = q_streams._drained(s, q_streams._stream(s, table), table)
         assert sorted(r["doc_id"] for r in got.collect()) == list(range(20))
+
+
+def test_codes_are_redeemed_without_a_call_each(spark):
+    path = scratch_path(spark, "hot")
+    # One code with many attempts over all files, its earliest in the middle, and many codes.
+    hot = [(i, "hot", 500 + (i * 7919) % 3000) for i in range(3000)] + [(9000, "hot", 500)]
+    rest = [(10_000 + i, f"k{i % 700}", 100 + i // 700) for i in range(2100)]
+    late = [(-1, "hot", 1), (-2, "k5", 1), (20_000, "new", 5), (20_001, "new", None)]
+    codes = spark.createDataFrame(
+        [("hot",), ("new",), *((f"k{i}",) for i in range(700))], "code string"
+    ).select(
+        "code",
+        F.timestamp_seconds(F.lit(9000)).alias("expires_at"),
+        F.lit(None).cast("timestamp").alias("redeemed_at"),
+    )
+    out, mark = scratch_path(spark, "first"), scratch_path(spark, "mark")
+    for part, n in ((hot + rest, 6), (late, 1)):
+        arrived = spark.createDataFrame(part, "attempt_id int, code string, s long").select(
+            "attempt_id", "code", F.timestamp_seconds("s").alias("attempted_at")
+        )
+        arrived.repartition(n).write.mode("append").parquet(path)
+        stream = J.file_stream(spark, path, arrived.schema)
+        first = J.first_redemption_stream(stream, codes)
+        plan = first._jdf.queryExecution().analyzed().toString()
+        assert "FlatMapGroupsInPandasWithState" not in plan
+        J.drain_to_table(first.select("code", "attempt_id"), out, mark)
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    assert got == {("hot", 0), ("new", 20_000), *((f"k{i}", 10_000 + i) for i in range(700))}
+
+
+def test_earliest_rows_are_kept_while_batches_pass(monkeypatch):
+    monkeypatch.setattr(J, "_HELD_ROWS", 10)
+    rows = [(f"k{i * 31 % 17}", (i * 37) % 41, i) for i in range(200)]
+    table = pa.table(dict(zip(("code", "attempted_at", "attempt_id"), map(list, zip(*rows)))))
+    parts = J._earliest_of_codes(iter(table.to_batches(max_chunksize=7)))
+    got = {(r["code"], r["attempted_at"], r["attempt_id"]) for p in parts for r in p.to_pylist()}
+    assert got == {min(r for r in rows if r[0] == code) for code in {r[0] for r in rows}}
