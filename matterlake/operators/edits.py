@@ -4,12 +4,14 @@ Pairs: (pair_id, old_text, new_text).
 """
 
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matterlake.functions.wordedits import rebuilt, word_counts, word_edits
+from matterlake.functions.wordedits import rebuilt, word_edits, words_of
 from matterlake.plans.storage import spread
 
 _RESULT = (
@@ -24,22 +26,40 @@ def _diff(
     """Edits and counts; no edits for a pair that the guard rejects."""
     if old is None or new is None:
         return None, None, None, None
-    n_old, n_new = word_counts(old, new)
+    words = words_of(old), words_of(new)
+    n_old, n_new = map(len, words)
     too_long = max_words is not None and max(n_old, n_new) > max_words
     if too_long or (n_old == 0 and n_new > 0):
         return None, n_old, n_new, None
-    edits, changed = word_edits(old, new, context_words)
-    listed = [{"old_text": o, "new_text": w, "old_start": s} for o, w, s in edits]
-    return listed, n_old, n_new, changed
+    edits, changed = word_edits(old, new, context_words, words)
+    return edits, n_old, n_new, changed
+
+
+def _as_arrow(rows: list[tuple]) -> pa.Array:
+    """Results of ``_diff`` as structs; the edits are built as flat columns."""
+    listed, *counts = zip(*rows) if rows else ((),) * 4
+    flat = list(chain.from_iterable(e for e in listed if e is not None))
+    texts, news, starts = zip(*flat) if flat else ((),) * 3
+    edits = pa.StructArray.from_arrays(
+        [pa.array(texts, pa.string()), pa.array(news, pa.string()), pa.array(starts, pa.int32())],
+        ["old_text", "new_text", "old_start"],
+    )
+    ends = list(accumulate((len(e or ()) for e in listed), initial=0))
+    # A missing start makes a missing list.
+    lows = [None if e is None else at for e, at in zip(listed, ends)]
+    lists = pa.ListArray.from_arrays(pa.array([*lows, ends[-1]], pa.int32()), edits)
+    return pa.StructArray.from_arrays(
+        [lists, *(pa.array(c, pa.int32()) for c in counts)],
+        ["edits", "old_words", "new_words", "changed_words"],
+    )
 
 
 def _edits_of(context_words: int, max_words: int | None):
-    @F.pandas_udf(_RESULT)
-    def edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = ["edits", "old_words", "new_words", "changed_words"]
+    @F.arrow_udf(_RESULT)
+    def edits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for old, new in batches:
-            rows = [_diff(o, n, context_words, max_words) for o, n in zip(old, new)]
-            yield pd.DataFrame(rows, columns=names)
+            pairs = zip(old.to_pylist(), new.to_pylist())
+            yield _as_arrow([_diff(o, n, context_words, max_words) for o, n in pairs])
 
     return edits
 
