@@ -5,6 +5,7 @@ Signals: (request_id, firm_id, doc_title, paragraph_count, word_count).
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,14 @@ def _paired(asked: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def _reach(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest word counts that match exactly or closely."""
+    band = np.maximum(float(D.CLOSE_WORDS), words * D.CLOSE_WORD_SHARE) + 1
+    # Shares of counts that are not above zero say nothing.
+    band[words <= 0] = np.inf
+    return words - band, words + band
+
+
 def _block(newest_close: bool):
     """The best stored size of a block for each asked size of it, and the count."""
 
@@ -120,14 +129,26 @@ def _block(newest_close: bool):
             stored[c].to_numpy().astype(float)[order] for c in ("paragraph_count", "word_count")
         )
         number = stored["_n"].to_numpy()[order]
+        if newest_close:
+            # Neighbours in size need much the same stored sizes, few of all.
+            asked = asked.take(pc.sort_indices(asked["_words"]))
+            by_words = np.argsort(w0, kind="stable")
+            sorted_words = w0[by_words]
         p1, w1 = (asked[c].to_numpy().astype(float) for c in ("_paragraphs", "_words"))
-        rows, at, ranks, gaps, counts = [], [], [], [], []
+        rows, at, ranks, gaps, counts = ([np.zeros(0, int)] for _ in range(5))
         step = max(1, BLOCK_PAIRS // m)
         for a in range(0, n, step):
+            near = np.arange(m)
+            if newest_close:
+                low, high = _reach(w1[a : a + step])
+                ends = np.searchsorted(sorted_words, (low.min(), high.max() + 1))
+                near = np.sort(by_words[slice(*ends)])
+                if not near.size:
+                    continue
             rank, combined = D.tiers_of_arrays(
-                p0[None], w0[None], p1[a : a + step, None], w1[a : a + step, None]
+                p0[None, near], w0[None, near], p1[a : a + step, None], w1[a : a + step, None]
             )
-            count = (rank <= (1 if newest_close else 2)) @ number
+            count = (rank <= (1 if newest_close else 2)) @ number[near]
             if newest_close:
                 first = (rank <= 1).argmax(axis=1)
             else:
@@ -137,7 +158,7 @@ def _block(newest_close: bool):
                 first = np.where(rank == least[:, None], held, np.inf).argmin(axis=1)
             own = np.flatnonzero(count)
             rows.append(a + own)
-            at.append(first[own])
+            at.append(near[first[own]])
             ranks.append(rank[own, first[own]])
             gaps.append(combined[own, first[own]])
             counts.append(count[own])
@@ -182,7 +203,8 @@ def scored_sizes(
     ``BLOCK_SIZES`` by as many, and a block hands on one row per asked size: its
     best stored one and the number of handoffs within the bands.  So pairs are
     neither shuffled nor sorted.  ``newest_close``: the best is the newest that
-    matches exactly or closely; only these count.
+    matches exactly or closely; only these count, and a block compares only
+    stored sizes whose word counts can match so.
     """
     asked, stored = (written(x, "sizes") for x in _sizes(signals, handoffs, n))
     counts = (

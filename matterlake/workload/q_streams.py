@@ -6,7 +6,7 @@ other, each drained by a call of its own that goes on from the checkpoint.
 
 from pyspark.sql import functions as F
 
-from matterlake.plans.storage import scratch_path
+from matterlake.plans.storage import scratch_path, written
 from matterlake.streaming import handoffs as SH
 from matterlake.streaming import jobs as J
 from matterlake.streaming import supersession as SS
@@ -213,8 +213,10 @@ def _updated(i: int) -> str:
 )
 def stream_handoffs(s):
     """Three micro-batches of updates, each of which finds what the last one left."""
-    updates = QD.updates_of(s.sized)
-    stored = QD.stored_handoffs(s.sized)
+    # The texts are read once: the table and each part are made from their sizes.
+    sized = written(s.sized, "sized")
+    updates = QD.updates_of(sized)
+    stored = QD.stored_handoffs(sized)
     part = F.substring("request_id", 2, 20).cast("long") % UPDATE_PARTS
     path, mark = scratch_path(s.spark, "handoffs"), scratch_path(s.spark, "mark")
     now = F.expr(

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
 from matterlake.plans.storage import written
+from matterlake.functions import scoring as D
 from matterlake.functions import text as X
 from matterlake.operators import handoffs as H
 from matterlake.operators import resolution as R
@@ -408,3 +411,46 @@ def test_blocks_of_sizes_hand_on_one_row_per_asked_size(spark, monkeypatch):
     assert answers() == plain
     monkeypatch.setattr(H, "BLOCK_SIZES", 7)
     assert answers() == plain
+
+
+def test_update_blocks_compare_only_sizes_near_the_asked(monkeypatch):
+    rng = random.Random(3)
+    sizes = [(rng.choice([None, *range(9)]), rng.randint(-5, 4000)) for _ in range(900)]
+    ages = [rng.randint(0, 50) for _ in sizes]
+    stored = pa.table({
+        "firm_id": ["f"] * 900, "doc_title_normalised": ["memo"] * 900,
+        "paragraph_count": pa.array([p for p, _ in sizes], pa.int32()),
+        "word_count": pa.array([w for _, w in sizes], pa.int32()),
+        "age": ages, "handoff_id": [f"h{i:03d}" for i in range(900)], "_n": [1] * 900,
+    })
+    asks = sorted({(rng.randint(0, 12), rng.randint(-5, 4200)) for _ in range(700)})
+    rng.shuffle(asks)
+    asked = pa.table({
+        "firm_id": ["f"] * len(asks), "doc_title_normalised": ["memo"] * len(asks),
+        "_paragraphs": pa.array([p for p, _ in asks], pa.int32()),
+        "_words": pa.array([w for _, w in asks], pa.int32()),
+    })
+    p0 = np.array([np.nan if p is None else p for p, _ in sizes], float)
+    w0 = np.array([w for _, w in sizes], float)
+    want = {}
+    for p, w in asks:
+        rank, _ = D.tiers_of_arrays(p0[None], w0[None], np.array([[p]], float), np.array([[w]], float))
+        fits = np.flatnonzero(rank[0] <= 1)
+        if fits.size:
+            best = min(fits, key=lambda i: (ages[i], i))
+            want[p, w] = (int(rank[0, best]), f"h{best:03d}", fits.size)
+    plain, compared = D.tiers_of_arrays, []
+
+    def counting(*sides):
+        found = plain(*sides)
+        compared.append(found[0].size)
+        return found
+
+    monkeypatch.setattr(H.D, "tiers_of_arrays", counting)
+    monkeypatch.setattr(H, "BLOCK_PAIRS", 20_000)
+    rows = H._block(True)(asked, stored).to_pylist()
+    got = {(r["_paragraphs"], r["_words"]): (r["rank"], r["handoff_id"], r["_n"]) for r in rows}
+    assert got == want and len(rows) == len(want) > 300
+    assert sum(compared) < len(asks) * 900 / 4
+    far = asked.set_column(3, "_words", pa.array([90_000] * len(asks), pa.int32()))
+    assert H._block(True)(far, stored).num_rows == 0
