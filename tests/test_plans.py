@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry_module  # noqa: E402
 
 from matterlake.operators import counterparties as CP  # noqa: E402
-from matterlake.plans.skew import product_join  # noqa: E402
+from matterlake.plans.skew import _packed, product_join  # noqa: E402
 from matterlake.workload import catalogue  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +79,62 @@ def test_product_join_cuts_a_key_with_many_rows_on_both_sides(spark):
     assert len(sizes) > 3 and max(sizes.values()) <= 600
 
 
+def rows_shuffled(df) -> int:
+    """Rows that the exchanges of an executed plan wrote."""
+
+    def walk(node) -> int:
+        own = node.metrics().get("shuffleRecordsWritten") if node.nodeName() == "Exchange" else None
+        below = node.children()
+        return (own.get().value() if own is not None else 0) + sum(
+            walk(below.apply(i)) for i in range(below.size())
+        )
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_product_join_copies_neither_side_to_every_slice(spark):
+    left = spark.createDataFrame([("k", a) for a in range(300)], "key string, a long")
+    right = spark.createDataFrame([("k", b) for b in range(200)], "key string, b long")
+    counts = left.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = product_join(left, right, ["key"], counts, task_rows=100)
+        rows = Counter((r["a"], r["b"]) for r in joined.collect())
+        # 600 cells: each side goes to the cells of its row or column alone.
+        assert rows_shuffled(joined) < 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert rows == Counter((a, b) for a in range(300) for b in range(200))
+
+
+def test_product_join_keeps_equal_rows_and_nulls(spark):
+    left = spark.createDataFrame(
+        [("k", 1), ("k", 1), ("k", None), (None, 2), ("l", 3), ("only", 4)], "key string, a long"
+    )
+    pairs = [("k", "r", None)] * 50 + [("k", None, "x"), ("k", "s", "x"), (None, "t", None), ("l", "u", "y")]
+    right = spark.createDataFrame(pairs, "key string, b string, c string")
+    counts = left.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
+    joined = product_join(left, right, ["key"], counts, task_rows=40, apart=["c"])
+    assert set(joined.columns) == {"key", "a", "b", "c"}
+    want = Counter(
+        (k, a, b, c) for k, a in [("k", 1), ("k", 1), ("k", None), ("l", 3)]
+        for other, b, c in pairs if other == k
+    )
+    assert Counter((r["key"], r["a"], r["b"], r["c"]) for r in joined.collect()) == want
+
+
+def test_packs_are_bounded(spark):
+    rows = spark.createDataFrame([("k", "same")] * 500 + [("l", "x")], "key string, b string")
+    packs = _packed(rows.coalesce(1), ["key"], 16).collect()
+    assert max(len(p["_pack"]) for p in packs) <= 16 and len(packs) <= 34
+    assert sum(p["_n"] for p in packs if p["key"] == "k") == 500
+
+
+def test_positions_are_linked_once_for_counterparties(spark):
+    # The links are used for the names and for the rows: the last plan reads them.
+    assert "Window" not in plan(spark, "counterparty_positions")
+
+
 def test_requests_that_ask_the_same_share_the_work(spark):
     matters = spark.createDataFrame(
         [(f"m{i}", "f", "England", '[{"name":"Acme Corp","role":"supplier"}]') for i in range(20)],
